@@ -35,7 +35,7 @@ def fold_sorted(rows: DataFrame, group: list[str], order: list, size: str, step:
     group is held.
     """
     sized = rows.repartition(*group).sortWithinPartitions(*group, *order)
-    schema = sized.schema.add(out, T.LongType())
+    schema = T.StructType([*sized.schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = key = state = None
