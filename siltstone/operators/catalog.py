@@ -32,6 +32,13 @@ def replay(edits: DataFrame) -> DataFrame:
     return last.where("last.added = 1").select("db_id", "table_id", "level", F.col("last.edit_no").alias("edit_no"))
 
 
+def edit_outcomes(edits: DataFrame) -> DataFrame:
+    """Per store and state (synced, failed, torn): edits and rows; only synced ones survive recovery."""
+    return edits.groupBy("db_id", "commit_state").agg(
+        F.countDistinct("edit_no").alias("n_edits"), F.count(F.lit(1)).alias("n_rows")
+    )
+
+
 def counters(edits: DataFrame) -> DataFrame:
     """Counters per store: the greatest ever set (they never go back), next_table_id at least one above any id added."""
     rows = synced(edits)

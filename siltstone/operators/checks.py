@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.expressions import BLOCK_BYTES, BLOCK_HEADER_BYTES, record_bytes
-from siltstone.operators.runs import TABLE, table_stats
+from siltstone.operators.runs import TABLE, bloom_build, bloom_valid, table_stats
 
 
 def record_violations(records: DataFrame) -> DataFrame:
@@ -57,3 +57,49 @@ def meta_consistency(catalog: DataFrame, runs: DataFrame) -> DataFrame:
     return both.where(~same).select(
         *TABLE, "record_count", F.coalesce("_record_count", F.lit(0).cast("bigint")).alias("real_record_count")
     )
+
+
+def bloom_consistency(sections: DataFrame, runs: DataFrame) -> DataFrame:
+    """Stored Bloom sections that disagree with their table's records: db_id, table_id, problem.
+
+    malformed; misses_a_key (a slot of a record isn't set, so a key would be
+    denied); too_many_slots; wrong_count (records, not distinct keys). The
+    first that holds is given; sections of tables without records are skipped.
+    """
+    stored = sections.distinct().select(
+        *TABLE, bloom_valid().alias("_valid"), F.col("key_count").alias("_said"),
+        F.expr("filter(sequence(0, 127), i -> substring(hex(mask), 2 * i + 2, 1) = '1')").alias("_set"),
+    )
+    problem = (
+        F.when(~F.col("_valid"), "malformed")
+        .when(F.size(F.array_except("slots", "_set")) > 0, "misses_a_key")
+        .when(F.size(F.array_except("_set", "slots")) > 0, "too_many_slots")
+        .when(F.col("_said") != F.col("key_count"), "wrong_count")
+    )
+    return stored.join(bloom_build(runs), TABLE).select(*TABLE, problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def add_violations(adds: DataFrame, live: DataFrame, max_levels: int = 7) -> DataFrame:
+    """Tables that may not be added to a catalog: db_id, table_id, rule (the first that is broken).
+
+    reserved_id (null, 0 or less), no_such_level, bad_range, known_id (live in
+    the store at any level), overlap (below level 0, with a live table of the
+    level, ends included; tables are compared within store and level).
+    """
+    known = live.select("db_id", "table_id").distinct().withColumn("_known", F.lit(True))
+    own = F.when(F.col("table_id").isNull() | (F.col("table_id") <= 0), "reserved_id").when(
+        F.col("level").isNull() | (F.col("level") < 0) | (F.col("level") >= max_levels), "no_such_level"
+    ).when(F.col("smallest_key") > F.col("largest_key"), "bad_range")
+    ruled = adds.join(known, ["db_id", "table_id"], "left").withColumn(
+        "rule", F.coalesce(own, F.when(F.col("_known"), "known_id"))
+    )
+    there = live.where("level > 0").select(
+        "db_id", "level", F.col("smallest_key").alias("_lo"), F.col("largest_key").alias("_hi")
+    )
+    clear = ruled.where("rule IS NULL")
+    overlap = (
+        clear.join(there, ["db_id", "level"])
+        .where((F.col("smallest_key") <= F.col("_hi")) & (F.col("largest_key") >= F.col("_lo")))
+        .select("db_id", "table_id", F.lit("overlap").alias("rule"))
+    )
+    return ruled.where("rule IS NOT NULL").select("db_id", "table_id", "rule").unionByName(overlap).distinct()

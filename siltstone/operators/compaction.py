@@ -132,6 +132,38 @@ def compact_range(runs: DataFrame, low: bytes, high: bytes, bottommost: bool = F
     return merge(runs.where(inside), bottommost)
 
 
+def key_spans(inputs: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Key range over all inputs of a plan: db_id, smallest_key, largest_key, n_tables."""
+    ranges = tables(catalog).select("db_id", "table_id", "level", "smallest_key", "largest_key")
+    return inputs.join(ranges, ["db_id", "table_id", "level"]).groupBy("db_id").agg(
+        F.min("smallest_key").alias("smallest_key"), F.max("largest_key").alias("largest_key"), F.count(F.lit(1)).alias("n_tables")
+    )
+
+
+def plan_violations(inputs: DataFrame, catalog: DataFrame, options: CompactionOptions) -> DataFrame:
+    """What is wrong with a plan: db_id, rule; a valid plan gives no rows.
+
+    no_source, repeated_table, reserved_id (0 or less), wrong_level (a source
+    off the source level, an overlap off the next), last_level (nothing lies
+    below the source), bad_range (an input whose keys are in no order).
+    """
+    by = inputs.groupBy("db_id")
+    rows = inputs.join(tables(catalog).select("db_id", "table_id", "level", "smallest_key", "largest_key"), ["db_id", "table_id", "level"], "left")
+    want = F.col("source_level") + F.when(F.col("role") == "source", 0).otherwise(1)
+    broken = [
+        by.agg(F.max((F.col("role") == "source").cast("int")).alias("s")).where("s = 0").select("db_id", F.lit("no_source").alias("rule")),
+        inputs.groupBy("db_id", "table_id").count().where("count > 1").select("db_id", F.lit("repeated_table").alias("rule")),
+        inputs.where("table_id <= 0").select("db_id", F.lit("reserved_id").alias("rule")),
+        inputs.where(F.col("level") != want).select("db_id", F.lit("wrong_level").alias("rule")),
+        inputs.where(F.col("source_level") + 1 >= options.max_levels).select("db_id", F.lit("last_level").alias("rule")),
+        rows.where(F.col("smallest_key") > F.col("largest_key")).select("db_id", F.lit("bad_range").alias("rule")),
+    ]
+    out = broken[0]
+    for b in broken[1:]:
+        out = out.unionByName(b)
+    return out.distinct()
+
+
 def stale_inputs(inputs: DataFrame, live: DataFrame) -> DataFrame:
     """Planned inputs that are no longer live at their level; a plan may run only if there are none."""
     return inputs.join(live, ["db_id", "table_id", "level"], "left_anti")

@@ -107,11 +107,12 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
 def deleted_table_references(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Delete rows of synced edits as references, and the tables' comings and goings as parents.
 
-    A table is a key with its store and level. In an edit deletes come first:
+    A table is a key with its store and level; a row that lacks one of the
+    three names no table. In an edit deletes come first:
     edit n removes at 2n, adds at 2n + 1, and its deletes look at 2n - 1.
     """
     rows = edits.where((F.col("commit_state") == "synced") & F.col("op").isin("add", "delete")).select(
-        F.concat_ws("|", F.col("db_id"), F.col("table_id"), F.col("level")).alias("_key"),
+        F.concat("db_id", F.lit("|"), "table_id", F.lit("|"), "level").alias("_key"),
         "op", "db_id", "edit_no", "table_id", "level", "path", "committed_at",
     )
     events = rows.select(
@@ -151,7 +152,7 @@ def orphan_rows(edits: DataFrame, catalog: DataFrame, footers: DataFrame) -> Dat
     cols = ["db_id", "edit_no", "table_id", "committed_at", "reason"]
     missed = orphans(deletes, events).select(F.lit("deleted_table").alias("ref_kind"), *cols)
     again = (
-        deletes.groupBy("_key", "db_id", "edit_no", "table_id")
+        deletes.where(F.col("_key").isNotNull()).groupBy("_key", "db_id", "edit_no", "table_id")
         .agg(F.count(F.lit(1)).alias("n"), F.max("committed_at").alias("committed_at"))
         .where("n > 1")
         .select(F.lit("deleted_table").alias("ref_kind"), "db_id", "edit_no", "table_id", "committed_at", F.lit("deleted").alias("reason"))

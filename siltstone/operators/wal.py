@@ -62,7 +62,7 @@ def to_fragments(records: DataFrame, order: list[str], block_bytes: int = LOG_BL
     rows stream through, only the offset is held. Null values count as empty.
     """
     files = ["db_id", "wal_id"]
-    rows = records.select(*files, *order, "seq_num", "type", "key_entry", "value_entry")
+    rows = records.select(*dict.fromkeys([*files, *order, "seq_num", "type", "key_entry", "value_entry"]))
     return rows.repartition(*files).sortWithinPartitions(*files, *order).mapInArrow(_fragments(block_bytes), _FRAGMENT)
 
 

@@ -147,6 +147,20 @@ FROM wanted w LEFT JOIN (SELECT * FROM latest WHERE type = 0) l ON l.db_id = w.d
     "range_scan": f"""WITH {WINNERS}
 SELECT db_id, hex(key_entry) AS key_hex, hex(value_entry) AS value_hex, seq_num FROM latest
 WHERE type = 0 AND key_entry >= {LO} AND key_entry < {HI}""",
+    "read_path": f"""WITH {FRONTIER}, {LIVE},
+both_sides AS (
+  SELECT db_id, key_entry, type, seq_num, -log_no AS r FROM marked WHERE NOT was_read
+  UNION ALL SELECT db_id, key_entry, type, seq_num, -4611686018427387904 FROM runs),
+newest AS (
+  SELECT * FROM both_sides QUALIFY row_number() OVER (PARTITION BY db_id, key_entry ORDER BY seq_num DESC, r DESC, type DESC) = 1),
+wanted AS (SELECT DISTINCT db_id, key_entry FROM incoming_records WHERE key_entry IS NOT NULL)
+SELECT w.db_id, hex(w.key_entry) AS key_hex, n.db_id IS NOT NULL AS found, seq_num
+FROM wanted w LEFT JOIN (SELECT * FROM newest WHERE type = 0) n ON n.db_id = w.db_id AND n.key_entry = w.key_entry""",
+    "known_keys": f"""WITH {WINNERS},
+wanted AS (SELECT DISTINCT db_id, key_entry FROM incoming_records WHERE key_entry IS NOT NULL)
+SELECT db_id, known, count(*) AS n FROM (
+  SELECT w.db_id, EXISTS (SELECT 1 FROM latest l WHERE l.type = 0 AND l.db_id = w.db_id AND l.key_entry = w.key_entry) AS known
+  FROM wanted w) GROUP BY ALL""",
     "memtable_get": f"""WITH {FRONTIER}
 SELECT db_id, hex(key_entry) AS key_hex, hex(value_entry) AS value_hex, type, seq_num FROM marked WHERE NOT was_read
 QUALIFY row_number() OVER (PARTITION BY db_id, key_entry ORDER BY seq_num DESC, log_no) = 1""",
@@ -218,6 +232,8 @@ SELECT db_id, table_id, level, edit_no FROM moves WHERE op = 'add'""",
   greatest(max(next_table_id), max(CASE WHEN op = 'add' THEN table_id + 1 END)) AS next_table_id,
   max(next_sequence_number) AS next_sequence_number, max(current_wal_id) AS current_wal_id, max(edit_no) AS last_edit_no
 FROM manifest_edits WHERE commit_state = 'synced' GROUP BY db_id""",
+    "edit_outcomes": """SELECT db_id, commit_state, count(DISTINCT edit_no) AS n_edits, count(*) AS n_rows
+FROM manifest_edits GROUP BY ALL""",
     "manifest_violations": f"""WITH {CATALOG},
 counter AS (
   SELECT db_id, greatest(max(next_table_id), max(CASE WHEN op = 'add' THEN table_id + 1 END)) AS n
@@ -242,6 +258,22 @@ SELECT db_id, due.db_id IS NOT NULL AS should_compact
 FROM (SELECT DISTINCT db_id FROM table_meta) s LEFT JOIN due USING (db_id)""",
     "pick_source": f"""WITH {CATALOG}, {BEST} SELECT db_id, level, table_id, file_size FROM best""",
     "compaction_plan": f"""WITH {PLAN} SELECT * FROM plan""",
+    "key_spans": f"""WITH {PLAN}
+SELECT p.db_id, hex(min(smallest_key)) AS smallest_key, hex(max(largest_key)) AS largest_key, count(*) AS n_tables
+FROM plan p JOIN tables t ON t.db_id = p.db_id AND t.table_id = p.table_id AND t.level = p.level GROUP BY p.db_id""",
+    "plan_violations": f"""WITH {PLAN}
+SELECT DISTINCT p.db_id, 'bad_range' AS rule FROM plan p
+JOIN tables t ON t.db_id = p.db_id AND t.table_id = p.table_id AND t.level = p.level WHERE smallest_key > largest_key
+UNION SELECT db_id, 'wrong_level' FROM plan WHERE level <> source_level + CASE role WHEN 'source' THEN 0 ELSE 1 END
+UNION SELECT db_id, 'last_level' FROM plan WHERE source_level + 1 >= {OPTIONS.max_levels}
+UNION SELECT db_id, 'reserved_id' FROM plan WHERE table_id <= 0
+UNION SELECT db_id, 'repeated_table' FROM plan GROUP BY db_id, table_id HAVING count(*) > 1""",
+    "stale_inputs": f"""WITH {PLAN},
+moves AS (
+  SELECT * FROM manifest_edits WHERE commit_state = 'synced' AND op IN ('add', 'delete')
+  QUALIFY row_number() OVER (PARTITION BY db_id, table_id, level ORDER BY edit_no DESC, op) = 1)
+SELECT p.db_id, p.table_id, p.level, p.source_level, p.role FROM plan p WHERE NOT EXISTS (
+  SELECT 1 FROM moves m WHERE m.op = 'add' AND m.db_id = p.db_id AND m.table_id = p.table_id AND m.level = p.level)""",
     "compact": f"""WITH {PLAN}, {LIVE},
 picked AS (SELECT * FROM runs r WHERE EXISTS (SELECT 1 FROM plan p WHERE p.db_id = r.db_id AND p.table_id = r.table_id)),
 {MERGED.format(source="picked")},
@@ -277,6 +309,21 @@ SELECT s.db_id, s.table_id, record_count, coalesce(n, 0)::BIGINT AS real_record_
 FROM said s LEFT JOIN real r ON r.db_id = s.db_id AND r.table_id = s.table_id
 WHERE record_count IS DISTINCT FROM n OR tombstone_count IS DISTINCT FROM t OR min_seq IS DISTINCT FROM a
   OR max_seq IS DISTINCT FROM b OR smallest_key IS DISTINCT FROM lo OR largest_key IS DISTINCT FROM hi""",
+    "bloom_consistency": f"""WITH {LIVE},
+hashed AS (SELECT db_id, table_id, {_slot("key_entry", 48)} AS a, {_slot("key_entry", 106)} AS b FROM runs),
+built AS (
+  SELECT db_id, table_id, count(*) // 2 AS n, list(DISTINCT s) AS slots
+  FROM (SELECT db_id, table_id, unnest([a, (a + b) % 128]) AS s FROM hashed) GROUP BY ALL),
+stored AS (
+  SELECT DISTINCT db_id, table_id, key_count, hex(mask) AS m, coalesce(octet_length(mask) = 128 AND bloom_bits = 128
+    AND hash_count = 2 AND regexp_matches(hex(mask), '^(0[01])*$'), false) AS good FROM bloom_sections),
+slotted AS (SELECT *, list_filter(range(0, 128), lambda i: substr(m, 2 * i + 2, 1) = '1') AS have FROM stored)
+SELECT * FROM (
+  SELECT s.db_id, s.table_id, CASE WHEN NOT good THEN 'malformed'
+    WHEN len(list_filter(slots, lambda x: NOT list_contains(have, x))) > 0 THEN 'misses_a_key'
+    WHEN len(list_filter(have, lambda x: NOT list_contains(slots, x))) > 0 THEN 'too_many_slots'
+    WHEN key_count <> n THEN 'wrong_count' END AS problem
+  FROM slotted s JOIN built b ON b.db_id = s.db_id AND b.table_id = s.table_id) WHERE problem IS NOT NULL""",
     "wal_reassemble": f"""WITH {VALID},
 once AS (SELECT DISTINCT log_no, db_id, wal_id, key_entry, coalesce(value_entry, ''::BLOB) AS value_entry, type, seq_num FROM valid)
 SELECT db_id, wal_id, count(*) AS n_records, 0::BIGINT AS n_corrupt, sum(octet_length(key_entry))::BIGINT AS key_bytes,

@@ -91,6 +91,23 @@ def range_scan(spark: SparkSession, d: str) -> DataFrame:
     return _out(resolve.range_scan(log(spark, d), LOW, HIGH, _tie()), "db_id", "key_entry", "value_entry", "seq_num")
 
 
+def read_path(spark: SparkSession, d: str) -> DataFrame:
+    """The whole read path for arriving keys: newest of the unflushed log and the live tables; tombstones hide values."""
+    cols = ["db_id", "key_entry", "value_entry", "type", "seq_num"]
+    memory = unflushed(spark, d).select(*cols, (-F.col("log_no")).alias("rank"))
+    both = memory.unionByName(live_runs(spark, d).select(*cols, F.lit(-(2**62)).alias("rank")))
+    found = resolve.multi_get(both, load(spark, d, "incoming_records"), [F.col("rank")])
+    return _out(found, "db_id", "key_entry", "found", "seq_num")
+
+
+def known_keys(spark: SparkSession, d: str) -> DataFrame:
+    """Arriving keys that are live (semi join) per store, and those that are not (anti join)."""
+    keys = load(spark, d, "incoming_records").select("db_id", "key_entry").where("key_entry IS NOT NULL").distinct()
+    live = resolve.live_view(log(spark, d), _tie()).select("db_id", "key_entry")
+    count = lambda how, yes: keys.join(live, ["db_id", "key_entry"], how).groupBy("db_id").agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.lit(yes))
+    return count("left_semi", True).unionByName(count("left_anti", False))
+
+
 def memtable_get(spark: SparkSession, d: str) -> DataFrame:
     return _out(resolve.latest_view(unflushed(spark, d), _tie()), "db_id", "key_entry", "value_entry", "type", "seq_num")
 
@@ -185,6 +202,10 @@ def counter_state(spark: SparkSession, d: str) -> DataFrame:
     return catalog.counters(load(spark, d, "manifest_edits"))
 
 
+def edit_outcomes(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.edit_outcomes(load(spark, d, "manifest_edits"))
+
+
 def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
     return catalog.violations(load(spark, d, "table_meta"), load(spark, d, "manifest_edits"))
 
@@ -216,6 +237,22 @@ def compaction_plan(spark: SparkSession, d: str) -> DataFrame:
     return compaction.plan(load(spark, d, "table_meta"), OPTIONS)
 
 
+def key_spans(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "table_meta")
+    return _out(compaction.key_spans(compaction.plan(t, OPTIONS), t), "db_id", "smallest_key", "largest_key", "n_tables")
+
+
+def plan_violations(spark: SparkSession, d: str) -> DataFrame:
+    t = load(spark, d, "table_meta")
+    return compaction.plan_violations(compaction.plan(t, OPTIONS), t, OPTIONS)
+
+
+def stale_inputs(spark: SparkSession, d: str) -> DataFrame:
+    """Planned inputs that the replayed edit log does not have at their level."""
+    inputs = compaction.plan(load(spark, d, "table_meta"), OPTIONS)
+    return compaction.stale_inputs(inputs, catalog.replay(load(spark, d, "manifest_edits")))
+
+
 def compact(spark: SparkSession, d: str) -> DataFrame:
     out = compaction.compact(live_runs(spark, d), load(spark, d, "table_meta"), OPTIONS)
     return _out(out, "db_id", "target_level", "key_entry", "seq_num", "type", "value_entry")
@@ -245,6 +282,10 @@ def meta_consistency(spark: SparkSession, d: str) -> DataFrame:
     return checks.meta_consistency(load(spark, d, "table_meta"), live_runs(spark, d))
 
 
+def bloom_consistency(spark: SparkSession, d: str) -> DataFrame:
+    return checks.bloom_consistency(load(spark, d, "bloom_sections"), live_runs(spark, d))
+
+
 # Write-ahead log
 
 
@@ -341,11 +382,11 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_state, p2_found, p2_runs, p3_found, p3_files, p4_found, p4_counts,
-        live_view, latest_view, live_count, point_get, multi_get, range_scan, memtable_get, dedup_identity, merge_runs,
+        live_view, latest_view, live_count, point_get, multi_get, range_scan, read_path, known_keys, memtable_get, dedup_identity, merge_runs,
         ordered_dump, generations, oldest_generation, memtable_usage, sstable_get, table_meta, block_index,
         index_candidates, bloom_build, bloom_probe, estimate_size, block_packing, output_split, record_checksums,
-        manifest_replay, counter_state, manifest_violations, level_stats, candidate_tables, overlapping_tables,
-        should_compact, pick_source, compaction_plan, compact, compact_bottom, compact_range, record_violations,
-        order_violations, meta_consistency, wal_fragment, wal_reassemble,
+        manifest_replay, counter_state, edit_outcomes, manifest_violations, level_stats, candidate_tables, overlapping_tables,
+        should_compact, pick_source, compaction_plan, key_spans, plan_violations, stale_inputs, compact, compact_bottom, compact_range, record_violations,
+        order_violations, meta_consistency, bloom_consistency, wal_fragment, wal_reassemble,
     )
 }
