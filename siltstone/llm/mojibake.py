@@ -282,7 +282,11 @@ class Mojibake:
 
         A garbled word is replaced by its original where the chain lost
         nothing: turned back as a whole, or known as a clean word, and garbling
-        the original gives the word again. Other words stay as they are.
+        the original gives the word again. Other words stay as they are. A line
+        of which at least half the longer words are garbled was misread as a
+        whole: it is turned back as a whole by a chain of its words, if that
+        loses nothing and gives the originals of all of them, so that short
+        words and names come back as well.
         """
         pairs = self.table().join(self.words(), "word")
         every = self.chains
@@ -294,21 +298,37 @@ class Mojibake:
                 return whole
             return original if kind == WORD and unit == word and not c.dropped and LOST not in word else None
 
+        def replaced(text, changes):
+            known = {c["word"]: (c["original"], c["chain"]) for c in changes}
+            longest = sorted((w for w, (o, _) in known.items() if o is not None), key=lambda w: (-len(w), w))
+            return "\n".join(restored_line(x, known, longest, every) for x in text.split("\n"))
+
         put = F.udf(back, "string", useArrow=True)("word", "kind", "unit", "original", "chain")
         # A text's own distinct garbled words: bounded by the length of one text.
         changes = (
-            pairs.select("h", "word", put.alias("original"))
-            .groupBy("h").agg(F.collect_list(F.struct("word", "original")).alias("changes"))
+            pairs.select("h", "word", "chain", put.alias("original"))
+            .groupBy("h").agg(F.collect_list(F.struct("word", "original", "chain")).alias("changes"))
         )
-
-        @F.udf("string", useArrow=True)
-        def replaced(text, changes):
-            for c in sorted((c for c in changes if c["original"] is not None), key=lambda c: -len(c["word"])):
-                text = text.replace(c["word"], c["original"])
-            return text
-
         restored_n = F.size(F.filter("changes", lambda c: c["original"].isNotNull()))
         return self.texts.join(changes, "h").select(
-            "doc_id", replaced("text", "changes").alias("restored"),
+            "doc_id", F.udf(replaced, "string", useArrow=True)("text", "changes").alias("restored"),
             F.size("changes").alias("n_garbled"), restored_n.alias("n_restored"),
         )
+
+
+def restored_line(line: str, known: dict, longest: list[str], every: list[Chain]) -> str:
+    """One line with originals put in; known: original and chain of each garbled word of the text."""
+    if line.isascii():
+        return line
+    words = words_of(line.encode("utf-8", "replace"))
+    own = [w for w in words if w in known]
+    if own and 2 * len(own) >= sum(len(w) > 2 for w in words):
+        originals = {known[w][0] for w in own if known[w][0] is not None}
+        for c in sorted({known[w][1] for w in own}):
+            whole = restore(line, every[c])
+            if whole is not None and all(o in whole for o in originals):
+                return whole
+    for w in longest:
+        if w in line:
+            line = line.replace(w, known[w][0])
+    return line
