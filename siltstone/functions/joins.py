@@ -26,11 +26,16 @@ def join_small(
     The narrow side is counted up to ``max_rows`` first. If it fits it is
     broadcast and the large side does not move. If not, every key of the large
     side is split over ``salts`` parts and the narrow side repeated for each,
-    so a key holding a third of all rows meets ``salts`` tasks instead of one.
+    so a key holding a third of all rows meets ``salts`` tasks instead of one;
+    with one salt, for keys that can't be hot, it is an ordinary join. The
+    salt is a hash of the row, so a task that is run again gives the same.
     ``how`` is inner, left, left_semi or left_anti; null keys match nothing.
     """
     if small.limit(max_rows + 1).count() <= max_rows:
         return large.join(F.broadcast(small), list(on), how)
-    spread = large.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    if salts < 2:
+        return large.join(small, list(on), how)
+    plain = [c for c, kind in large.dtypes if "map<" not in kind and kind not in ("variant", "void")]
+    spread = large.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salts)).cast("int"))
     each = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return spread.join(each, [*on, "_salt"], how).drop("_salt")

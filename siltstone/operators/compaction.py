@@ -78,7 +78,7 @@ def plan(catalog: DataFrame, options: CompactionOptions) -> DataFrame:
     due = source_levels(catalog, options)
     chosen = pick_source(catalog).select("db_id", "level", F.col("table_id").alias("_chosen"))
     sources = (
-        join_small(t, due, ["db_id"], "inner")
+        t.join(due, "db_id")
         .where(F.col("level") == F.col("source_level"))
         .join(chosen, ["db_id", "level"], "left")
         .where((F.col("level") == 0) | (F.col("table_id") == F.col("_chosen")))
@@ -86,7 +86,7 @@ def plan(catalog: DataFrame, options: CompactionOptions) -> DataFrame:
     span = sources.groupBy("db_id", "source_level").agg(
         F.min("smallest_key").alias("_low"), F.max("largest_key").alias("_high")
     )
-    overlaps = join_small(t, span, ["db_id"], "inner").where(
+    overlaps = t.join(span, "db_id").where(
         (F.col("level") == F.col("source_level") + 1)
         & (F.col("smallest_key") <= F.col("_high"))
         & (F.col("largest_key") >= F.col("_low"))
@@ -118,7 +118,7 @@ def compact(runs: DataFrame, catalog: DataFrame, options: CompactionOptions) ->
         inputs.groupBy("db_id").agg((F.max("source_level") + 1).alias("target_level"))
         .join(deepest, "db_id").withColumn("_bottom", F.col("_deepest") <= F.col("target_level"))
     )
-    merged = merge(join_small(runs, inputs.select("db_id", "table_id"), ["db_id", "table_id"], "left_semi"))
+    merged = merge(runs.join(inputs.select("db_id", "table_id"), ["db_id", "table_id"], "left_semi"))
     return (
         join_small(merged, targets.select("db_id", "target_level", "_bottom"), ["db_id"], "inner")
         .where(~((F.col("type") == 1) & F.col("_bottom")))

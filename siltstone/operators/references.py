@@ -149,16 +149,21 @@ def orphan_rows(edits: DataFrame, catalog: DataFrame, footers: DataFrame) -> Dat
     """
     deletes, events = deleted_table_references(edits)
     paths, files = table_path_references(catalog, footers)
-    cols = ["db_id", "edit_no", "table_id", "committed_at", "reason"]
-    missed = orphans(deletes, events).select(F.lit("deleted_table").alias("ref_kind"), *cols)
+    # Both kinds are probed in one pass; the kind is part of the key.
+    own = lambda df, kind: df.withColumn("ref_kind", F.lit(kind)).withColumn("_key", F.concat(F.lit(kind + "|"), "_key"))
+    cols = ["ref_kind", "db_id", "edit_no", "table_id", "committed_at", "reason"]
+    missed = orphans(
+        own(deletes, "deleted_table").unionByName(own(paths, "table_path")),
+        own(events, "deleted_table").unionByName(own(files, "table_path")).drop("ref_kind"),
+    ).select(*cols)
     again = (
         deletes.where(F.col("_key").isNotNull()).groupBy("_key", "db_id", "edit_no", "table_id")
         .agg(F.count(F.lit(1)).alias("n"), F.max("committed_at").alias("committed_at"))
         .where("n > 1")
         .select(F.lit("deleted_table").alias("ref_kind"), "db_id", "edit_no", "table_id", "committed_at", F.lit("deleted").alias("reason"))
+        .select(*cols)
     )
-    lost = orphans(paths, files).select(F.lit("table_path").alias("ref_kind"), *cols)
-    return missed.unionByName(again).unionByName(lost)
+    return missed.unionByName(again)
 
 
 def orphan_counts(edits: DataFrame, catalog: DataFrame, footers: DataFrame) -> DataFrame:

@@ -129,7 +129,8 @@ class SmallFiles:
     def records(self) -> DataFrame:
         """The records of live tables without exact repeats. The reduction comes first: it spreads hot stores."""
         live = self.catalog.select("db_id", "table_id").distinct()
-        return join_small(self.run_records.select(*self.COLUMNS).distinct(), live, ["db_id", "table_id"], "left_semi")
+        rows = self.run_records.select(*self.COLUMNS).distinct()
+        return join_small(rows, live, ["db_id", "table_id"], "left_semi", salts=1)  # a table's rows are bounded
 
     def _coded(self, records: DataFrame) -> DataFrame:
         top = records.groupBy("db_id", "level").agg(F.max("seq_num").alias("_top"))
