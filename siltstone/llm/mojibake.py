@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.joins import join_small
 from siltstone.llm.garble import LOST, Chain, chains, garbled_forms, restore
+from siltstone.llm.tokens import spread
 from siltstone.sources.tables import shared_dir
 
 #: ASCII characters that end a word; letters and digits don't.
@@ -210,7 +211,7 @@ class Mojibake:
         """(h, word): the distinct words beyond ASCII of every different text."""
         if self._table is None:
             rows = self.texts.where(F.col("text").isNotNull()).select("h", F.col("text").cast("binary").alias("text"))
-            self._table = self._written(rows.mapInArrow(_tokens, "h bigint, word string").distinct())
+            self._table = self._written(spread(rows).mapInArrow(_tokens, "h bigint, word string").distinct())
         return self._table
 
     def pieces(self) -> DataFrame:

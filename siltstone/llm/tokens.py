@@ -24,13 +24,19 @@ def _texts(column: pa.Array) -> Iterator[str]:
         yield raw.decode("utf-8", "replace") if raw else ""
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores, if the scan gives fewer parts than there are; a large table stays as it is scanned."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(2 * cores)
+
+
 def encode_documents(
     documents: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str = f"{TOKENIZERS}/{VOCABULARY}"
 ) -> DataFrame:
     """(doc_id, ids) of every row: the ids of the whole text, without special tokens.
 
     A map over Arrow batches without a shuffle: partitions are those of the
-    scan, batches are cut into pieces of about a million characters, and a
+    scan (unless those are fewer than the cores), batches are cut into pieces of about a million characters, and a
     worker keeps the ids of words it has met (a bounded number). Each distinct
     new word is merged by segment tree. Null and empty texts give an empty
     list; strings of special tokens are ordinary text; repeated rows and ids
@@ -48,7 +54,7 @@ def encode_documents(
                 at += len(counts)
 
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, ids array<int>")
+    return spread(rows).mapInArrow(run, "doc_id bigint, ids array<int>")
 
 
 def count_tokens(
@@ -64,4 +70,4 @@ def count_tokens(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64())], ["doc_id", "n_tokens"])
 
     rows = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, n_tokens bigint")
+    return spread(rows).mapInArrow(run, "doc_id bigint, n_tokens bigint")
