@@ -15,8 +15,11 @@ BLOCK_BYTES = 4096
 
 
 def valid_record(kind: str = "type", seq: str = "seq_num", key: str = "key_entry") -> Column:
-    """True for a put (0) or tombstone (1) with a positive sequence and a key; never null."""
-    return F.coalesce(F.col(kind).isin(0, 1) & (F.col(seq) > 0) & F.col(key).isNotNull(), F.lit(False))
+    """True for a put (0) or tombstone (1) with a positive sequence and a key; a filter that reaches the Parquet scan.
+
+    Null where type or sequence is, so use it to filter only.
+    """
+    return F.col(kind).isin(0, 1) & (F.col(seq) > 0) & F.col(key).isNotNull()
 
 
 def key_hex(key: str | Column = "key_entry") -> Column:
