@@ -57,13 +57,11 @@ def new_records(source: DataFrame, target: DataFrame, identity: Sequence[str]) -
     shuffles on exactly the identity the reduction shuffled on, so neither side
     moves twice. Null parts compare as equal.
     """
-    cols = list(identity)
-    fresh, seen = source.select(*cols).distinct(), target.select(*cols).distinct()
-    match = [fresh[c].eqNullSafe(seen[c]) for c in cols]
-    condition = match[0]
-    for m in match[1:]:
-        condition = condition & m
-    return fresh.join(seen, condition, "left_anti")
+    # As one struct the identity is compared field by field, nulls as equal, and stays the key both sides are
+    # partitioned on; null-safe comparisons of single columns would need another shuffle.
+    whole = F.struct(*identity).alias("_identity")
+    fresh, seen = source.select(whole).distinct(), target.select(whole).distinct()
+    return fresh.join(seen, "_identity", "left_anti").select("_identity.*")
 
 
 class IncrementalTarget:
