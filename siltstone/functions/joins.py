@@ -31,6 +31,9 @@ def join_small(
     salt is a hash of the row, so a task that is run again gives the same.
     ``how`` is inner, left, left_semi or left_anti; null keys match nothing.
     """
+    twice = set(large.columns) & set(small.columns) - set(on)
+    if twice and how in ("inner", "left"):
+        raise ValueError(f"columns of both sides: {sorted(twice)}")
     if small.limit(max_rows + 1).count() <= max_rows:
         return large.join(F.broadcast(small), list(on), how)
     if salts < 2:

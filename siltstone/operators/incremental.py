@@ -39,11 +39,12 @@ def read_frontier(edits: DataFrame, headers: DataFrame) -> DataFrame:
 def split_log(changelog: DataFrame, edits: DataFrame, headers: DataFrame) -> DataFrame:
     """Valid records of the log with ``was_read``: whether their file lies before the store's frontier.
 
-    A record without a wal_id belongs to no file and is left out.
+    A record without a wal_id belongs to no file and is left out. Columns of the
+    log that are called frontier or was_read are replaced.
     """
-    valid = changelog.where(valid_record() & F.col("wal_id").isNotNull())
+    valid = changelog.drop("frontier", "was_read").where(valid_record() & F.col("wal_id").isNotNull())
     marked = join_small(valid, read_frontier(edits, headers), ["db_id"], "left")
-    return marked.withColumn("was_read", F.coalesce(F.col("wal_id") < F.col("frontier"), F.lit(False)))
+    return marked.withColumn("was_read", F.coalesce(F.col("wal_id") < F.col("frontier"), F.lit(False))).drop("frontier")
 
 
 def new_records(source: DataFrame, target: DataFrame, identity: Sequence[str]) -> DataFrame:

@@ -82,11 +82,13 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     Arrow batches by binary search. Only misses leave Python; they are joined
     back to their rows, where AQE splits a hot missing key.
 
+    A column ``reason`` of the references is replaced.
+
     A null key or position refers to nothing and is no orphan; empty strings
     are keys. Without references the result is empty, without parents every
     reference is missing.
     """
-    refs = references.where(F.col("_key").isNotNull() & F.col("_at").isNotNull())
+    refs = references.drop("reason").where(F.col("_key").isNotNull() & F.col("_at").isNotNull())
     asked = refs.select("_key", "_at").distinct()
     known = (
         parents.where(F.col("_key").isNotNull() & F.col("_at").isNotNull())

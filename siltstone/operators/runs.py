@@ -34,7 +34,7 @@ def fold_sorted(rows: DataFrame, group: list[str], order: list, size: str, step:
     needed) and streamed through Arrow batches; only the state of the current
     group is held.
     """
-    sized = rows.repartition(*group).sortWithinPartitions(*group, *order)
+    sized = rows.drop(out).repartition(*group).sortWithinPartitions(*group, *order)
     schema = T.StructType([*sized.schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,3 +85,12 @@ def test_second_writer_of_a_version_fails(spark, tmp_path):
     with pytest.raises(RuntimeError):
         t.run(src, meanwhile)
     assert t.version() == 1 and t.read().count() == 1
+
+
+def test_clashing_columns_are_replaced(spark):
+    log = spark.createDataFrame(
+        [(1, 1, bytearray(b"k"), 0, 1, "x", True)],
+        "db_id bigint, wal_id bigint, key_entry binary, type int, seq_num bigint, frontier string, was_read boolean",
+    )
+    rows = split_log(log, spark.createDataFrame([], EDIT), spark.createDataFrame([], HEAD)).collect()
+    assert [r["was_read"] for r in rows] == [False]

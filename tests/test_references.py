@@ -46,6 +46,12 @@ def test_empty_sides(spark):
     assert [r["reason"] for r in orphans(refs, parents.limit(0)).collect()] == ["missing"]
 
 
+def test_extra_columns_with_clashing_names(spark):
+    refs = spark.createDataFrame([("a", 1, "x", 5)], "_key string, _at bigint, reason string, _side int")
+    parents = spark.createDataFrame([("b", 1, True, "y")], PAR + ", _side string")
+    assert [r["reason"] for r in orphans(refs, parents).collect()] == ["missing"]
+
+
 def edits(spark, rows):
     full = [(db, no, op, t, level, *[None] * 13, state, None) for db, no, op, t, level, state in rows]
     return spark.createDataFrame(full, SCHEMAS["manifest_edits"])
