@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from siltstone.functions.expressions import normal_path, record_bytes
+from siltstone.functions.expressions import RECORD_HEADER_BYTES, normal_path, record_bytes
 from siltstone.functions.joins import join_small
 from siltstone.sources.tables import shared_dir
 
@@ -63,19 +63,30 @@ def newest_files(footers: DataFrame) -> DataFrame:
     )
 
 
-def row_digest(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
-    """Per group: rows, and two order-independent 64-bit sums over all columns of every row."""
-    h = F.xxhash64(*[F.coalesce(F.col(c).cast("string"), F.lit("\0null")) if c not in ("key_entry", "value_entry")
-                     else F.coalesce(F.hex(c), F.lit("null")) for c in columns])
-    return (
+def row_digest(rows: DataFrame, by: list[str], part: str, columns: list[str]) -> DataFrame:
+    """Per group: rows, two order-independent 64-bit sums over all columns of every row, parts and the largest part's bytes.
+
+    One pass over the rows; parts (tables or files) are summed up to groups.
+    """
+    h = F.xxhash64(*[F.coalesce(F.hex(c) if kind == "binary" else F.col(c).cast("string"), F.lit("\0null"))
+                     for c, kind in rows.select(*columns).dtypes])
+    each = (
         rows.withColumn("_h", h)
-        .groupBy(*by)
+        .groupBy(*by, part)
         .agg(
-            F.count(F.lit(1)).alias("n_rows"),
-            F.bit_xor("_h").alias("h_xor"),
-            F.sum(F.col("_h").cast("decimal(20,0)")).alias("h_sum"),
+            F.count(F.lit(1)).alias("n"),
+            F.bit_xor("_h").alias("x"),
+            F.sum(F.col("_h").cast("decimal(20,0)")).alias("s"),
+            F.sum(F.coalesce(record_bytes(), F.lit(RECORD_HEADER_BYTES))).alias("b"),
         )
     )
+    return each.groupBy(*by).agg(
+        F.sum("n").alias("n_rows"),
+        F.bit_xor("x").alias("h_xor"),
+        F.sum("s").alias("h_sum"),
+        F.count(F.lit(1)).alias("n_parts"),
+        F.max("b").alias("bytes_max"),
+    )
 
 
 @dataclass
@@ -133,18 +144,20 @@ class SmallFiles:
         return join_small(rows, live, ["db_id", "table_id"], "left_semi", salts=1)  # a table's rows are bounded
 
     def _coded(self, records: DataFrame) -> DataFrame:
-        top = records.groupBy("db_id", "level").agg(F.max("seq_num").alias("_top"))
+        # The catalog's own bound of the sequences; where it is wrong codes only cluster less well.
+        top = self.catalog.groupBy("db_id", "level").agg(F.max("max_seq").alias("_top"))
         side = 2**COORDINATE_BITS - 1
         # Two leading bytes of the key, short keys padded: the order of the keys is the order of the numbers.
         prefix: Column = F.conv(F.rpad(F.substring(F.hex("key_entry"), 1, 4), 4, "0"), 16, 10).cast("bigint")
         sized = join_small(records, top, ["db_id", "level"], "left")
         x = F.coalesce(prefix, F.lit(0))
-        y = F.coalesce((F.col("seq_num") * side / F.greatest(F.col("_top"), F.lit(1))).cast("bigint"), F.lit(0))
+        share = F.col("seq_num") / F.greatest(F.col("_top"), F.lit(1))
+        y = F.coalesce((F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)) * side).cast("bigint"), F.lit(0))
         shift = 2 * COORDINATE_BITS - CELL_BITS
         return (
-            sized.withColumn("_code", _hilbert(x, F.greatest(y, F.lit(0))))
+            sized.withColumn("_code", _hilbert(x, y))
             .withColumn("_cell", F.shiftright("_code", shift))
-            .withColumn("_bytes", F.coalesce(record_bytes(), F.lit(25)))
+            .withColumn("_bytes", F.coalesce(record_bytes(), F.lit(RECORD_HEADER_BYTES)))
             .drop("_top")
         )
 
@@ -170,9 +183,9 @@ class SmallFiles:
             )
         )
 
-    def placed(self) -> DataFrame:
+    def placed(self, coded: DataFrame | None = None) -> DataFrame:
         """The records with ``file_no``, the file of their store and level they belong in."""
-        coded = self._coded(self.records())
+        coded = self._coded(self.records()) if coded is None else coded
         part = F.pmod(F.xxhash64("table_id", F.hex("key_entry"), "seq_num", F.hex("value_entry")), F.col("_parts"))
         # At most 2^CELL_BITS cells a store and level; the join checks the number before it broadcasts.
         return join_small(coded, self._cells(coded), ["db_id", "level", "_cell"], "left").withColumn(
@@ -180,36 +193,39 @@ class SmallFiles:
         )
 
     def run(self, folder: str | None = None) -> DataFrame:
-        """Write the files and return (db_id, level, n_rows, files_before, files_after, file_bytes_max, whole)."""
+        """Write the files and return (db_id, level, n_rows, files_before, files_after, file_bytes_max, whole).
+
+        The coded records are written once, since the histogram and the shuffle both need them; the digest
+        before is taken from the source itself, not from that copy.
+        """
         spark = self.catalog.sparkSession
         out = folder or f"{shared_dir(spark)}/small-files-{uuid.uuid4().hex}"
+        coded = self._coded(self.records())
+        coded.write.parquet(f"{out}/coded")
+        staged = spark.read.schema(coded.schema).parquet(f"{out}/coded")
         kept = [c for c in self.COLUMNS if c not in ("db_id", "level")]
         (
-            self.placed()
+            self.placed(staged)
             .repartitionByRange("db_id", "level", "file_no")
             .sortWithinPartitions("db_id", "level", "file_no", "_code", "key_entry", F.col("seq_num").desc())
             .select("db_id", "level", "file_no", *kept)
             .write.partitionBy("db_id", "level", "file_no")
-            .parquet(out)
+            .parquet(f"{out}/files")
         )
         schema = self.run_records.select(*self.COLUMNS).schema
-        written = spark.read.schema(schema.add("file_no", "string")).option("basePath", out).parquet(out)
+        written = spark.read.schema(schema.add("file_no", "string")).parquet(f"{out}/files")
         by, columns = ["db_id", "level"], list(self.COLUMNS)
-        before, after = row_digest(self.records(), by, columns), row_digest(written, by, columns)
-        sizes = (
-            written.groupBy(*by, "file_no")
-            .agg(F.sum(F.coalesce(record_bytes(), F.lit(25))).alias("b"))
-            .groupBy(*by)
-            .agg(F.count(F.lit(1)).alias("files_after"), F.max("b").alias("file_bytes_max"))
-        )
-        tables = self.records().groupBy(*by).agg(F.countDistinct("table_id").alias("files_before"))
+        before = row_digest(self.records(), by, "table_id", columns)
+        after = row_digest(written, by, "file_no", columns)
         same = F.coalesce(
             (before.n_rows == after.n_rows) & (before.h_xor == after.h_xor) & (before.h_sum == after.h_sum),
             F.lit(False),
         )
-        joined = before.join(after, by, "full").select(
-            *by, F.coalesce(before.n_rows, F.lit(0)).alias("n_rows"), same.alias("whole")
+        return before.join(after, by, "full").select(
+            *by,
+            F.coalesce(before.n_rows, F.lit(0)).alias("n_rows"),
+            before.n_parts.alias("files_before"),
+            after.n_parts.alias("files_after"),
+            after.bytes_max.alias("file_bytes_max"),
+            same.alias("whole"),
         )
-        return joined.join(tables, by, "left").join(sizes, by, "left").select(
-            *by, "n_rows", "files_before", "files_after", "file_bytes_max", "whole"
-        )

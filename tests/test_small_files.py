@@ -28,7 +28,7 @@ def test_newest_files(spark):
 
 def tables(spark, records, catalog=None):
     catalog = catalog or sorted({(r[0], r[1], r[2]) for r in records})
-    cat = spark.createDataFrame([(*c, f"p{c[1]}") for c in catalog], "db_id bigint, table_id bigint, level int, path string")
+    cat = spark.createDataFrame([(*c, f"p{c[1]}", 900) for c in catalog], "db_id bigint, table_id bigint, level int, path string, max_seq bigint")
     foot = spark.createDataFrame(
         [(i, f"p{c[1]}", "present", 10) for i, c in enumerate(catalog)],
         "scan_no bigint, path string, seen_state string, file_size bigint",
