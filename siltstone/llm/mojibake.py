@@ -306,12 +306,14 @@ class Mojibake:
 
         put = F.udf(back, "string", useArrow=True)("word", "kind", "unit", "original", "chain")
         # A text's own distinct garbled words: bounded by the length of one text.
-        changes = (
+        changes = self._written(
             pairs.select("h", "word", "chain", put.alias("original"))
             .groupBy("h").agg(F.collect_list(F.struct("word", "original", "chain")).alias("changes"))
         )
         restored_n = F.size(F.filter("changes", lambda c: c["original"].isNotNull()))
-        return self.texts.join(changes, "h").select(
+        # Texts without garbled words are left behind before any text moves.
+        found = join_small(self.texts, changes.select("h"), ["h"], "left_semi")
+        return found.join(changes, "h").select(
             "doc_id", F.udf(replaced, "string", useArrow=True)("text", "changes").alias("restored"),
             F.size("changes").alias("n_garbled"), restored_n.alias("n_restored"),
         )
