@@ -6,6 +6,10 @@ from a file reads as null, and extra columns are pruned at the scan.
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 _META = (
@@ -47,13 +51,12 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors for written tables and checkpoints.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a local one made.
+    (tests on one machine) is a local one made, and removed when Python ends.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    import tempfile
-
-    path = f"file://{tempfile.mkdtemp(prefix='siltstone-')}"
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    own = tempfile.mkdtemp(prefix="siltstone-")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    return f"file://{own}"
