@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.joins import join_small
-from siltstone.llm.garble import LOST, Chain, chains, garbled_forms, restore
+from siltstone.llm.garble import LOST, SINGLE_BYTE, Chain, chains, garbled_forms, restore
 from siltstone.llm.tokens import spread
 from siltstone.sources.tables import shared_dir
 
@@ -36,6 +36,8 @@ class Evidence:
 
     #: The clean word is in at least so many times as many different texts as the garbled form.
     ratio: int = 3
+    #: Texts the clean word of a form that proves itself must be in; the ratio plays no part there.
+    known: int = 2
     #: Pieces of one unspaced word (Chinese, Japanese) that must be garbled forms.
     grams: int = 3
 
@@ -69,6 +71,19 @@ def _odd(form: str) -> bool:
     return len(scripts) > 1 or any(unicodedata.category(c) not in ("Ll", "Lu", "Mn") for c in form)
 
 
+def proves_itself(form: str) -> bool:
+    """Whether a form that turns back into UTF-8 is no word by its looks: a run, or its letters together, are odd.
+
+    Letters of one script are not enough: Russian words are valid UTF-8 in cp866.
+    """
+    return any(_odd(r) for r in runs_of(form) if r) or _odd("".join(filter(str.isalpha, form)))
+
+
+def turns_back(chain: Chain) -> bool:
+    """Whether every form of a chain holds the UTF-8 of its original, byte by byte: one-byte readings that lose nothing."""
+    return not (chain.lost or chain.dropped) and all(a == "utf-8" and b in SINGLE_BYTE for a, b in chain.steps)
+
+
 def pieces_of(word: str) -> list[tuple[str, str]]:
     """(piece, kind) of a word: itself, its runs, and of long runs every 2 to 4 characters.
 
@@ -148,7 +163,7 @@ def _form_rows(every: list[Chain], filter_bits):
                 units, counts = (c.to_pylist() for c in b.slice(lo, 5000).columns)
                 rows = []
                 for c, own, forms in garbled_forms(units, every):
-                    no = number[c]
+                    no, whole = number[c], turns_back(c)
                     # Words are cut at ASCII punctuation, so forms that have some can be words only without it.
                     forms = _BREAK_CHARS.sub(" ", "\n".join(forms)).split("\n")
                     hashed = np.fromiter((xxhash.xxh64_intdigest(f, _SEED) for f in forms), np.uint64, len(forms))
@@ -158,11 +173,11 @@ def _form_rows(every: list[Chain], filter_bits):
                     for x in np.flatnonzero(hit).tolist():
                         i, f = own[x], forms[x]
                         if len(f) > 1 and " " not in f and f != units[i]:
-                            rows.append((f, units[i], counts[i], no))
-                columns = list(zip(*rows, strict=True)) or [[]] * 4
-                types = [pa.string(), pa.string(), pa.int64(), pa.int32()]
+                            rows.append((f, units[i], counts[i], no, whole and proves_itself(f)))
+                columns = list(zip(*rows, strict=True)) or [[]] * 5
+                types = [pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_()]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["unit", "original", "n_original", "chain"]
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["unit", "original", "n_original", "chain", "sure"]
                 )
 
     return run
@@ -179,15 +194,19 @@ class Mojibake:
        that no unit equals are dropped at once by a Bloom filter of the units
        (its size follows their number, 16 MB at most).
     4. The forms are hash-joined with the units: a form that is a unit itself,
-       and in far fewer texts than its original, is garbled.
+       and in far fewer texts than its original, is garbled. However frequent, a
+       form is garbled that holds the UTF-8 of a known clean word without loss
+       and has a run that looks like no word: a source that misreads all its
+       mail the same way makes such forms as frequent as their originals.
     5. A word is garbled if it is such a form, contains a run that is (and
        that looks like no run of letters), or three pieces that are.
 
     The table of (text, word) is written once to the shared folder, which cuts
     the lineage. Null, empty and ASCII texts have no words and are no cases.
     Correct but unusual characters are frequent enough as they are, or are no
-    form of anything frequent; a corpus so small that originals are not three
-    times as frequent as their garbled forms gives no evidence and no cases.
+    form of anything frequent; where originals are not three times as frequent as
+    their garbled forms, forms that don't prove themselves (other chains than
+    UTF-8 in one-byte encodings) give no evidence and no cases.
     """
 
     def __init__(self, documents: DataFrame, evidence: Evidence = Evidence()):
@@ -248,11 +267,14 @@ class Mojibake:
         clean = units.where("source").select("unit", "n_unit")
         spread = clean.repartition(4 * self._parts(), "unit")
         forms = spread.mapInArrow(
-            _form_rows(self.chains, self._filter(known)), "unit string, original string, n_original bigint, chain int"
+            _form_rows(self.chains, self._filter(known)), "unit string, original string, n_original bigint, chain int, sure boolean"
         )
         garbled = (
             forms.join(known, "unit")
-            .where(F.col("n_original") >= F.col("n_unit") * self.evidence.ratio)
+            .where(
+                (F.col("n_original") >= F.col("n_unit") * self.evidence.ratio)
+                | (F.col("sure") & (F.col("n_original") >= self.evidence.known))
+            )
             .groupBy("unit")
             .agg(F.max(F.struct("n_original", "original", (-F.col("chain")).alias("order"))).alias("best"))
             .select("unit", F.col("best.original").alias("original"), (-F.col("best.order")).alias("chain"))
