@@ -97,8 +97,8 @@ class Chain:
 
 
 def _answers(options: ChainOptions):
-    names = ["db_id", "key_entry", "first_no", "maybe", "bound", "n_layers"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.float64(), pa.int32()]
+    names = ["db_id", "key_entry", "first_no", "n_arrivals", "maybe", "bound", "n_layers"]
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chain = None, Chain(options)
@@ -125,10 +125,10 @@ def _answers(options: ChainOptions):
                     tail = own.slice(n)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            *(tail.column(c).cast(t) for c, t in zip(names[:3], types[:3], strict=True)),
-                            pa.array(maybe, types[3]),
-                            pa.array(np.full(m, chain.bound()), types[4]),
-                            pa.array(np.full(m, len(chain.layers)), types[5]),
+                            *(tail.column(c).cast(t) for c, t in zip(names[:4], types[:4], strict=True)),
+                            pa.array(maybe, types[4]),
+                            pa.array(np.full(m, chain.bound()), types[5]),
+                            pa.array(np.full(m, len(chain.layers)), types[6]),
                         ],
                         names,
                     )
@@ -141,8 +141,8 @@ def chain_answers(
 ) -> DataFrame:
     """The chain's answer for the first arrival of every key.
 
-    db_id, key_entry, first_no, maybe (called seen), bound (of the share of
-    wrong answers there), n_layers.
+    db_id, key_entry, first_no, n_arrivals (of the key), maybe (called seen),
+    bound (of the share of wrong answers there), n_layers.
 
     Keys are hashed into shards, each with a chain of its own, so a store that
     holds a third of all keys is spread like any other. Repeats of one key are
@@ -163,9 +163,9 @@ def chain_answers(
     hashed = lambda df: df.withColumn("_h1", F.xxhash64(*KEY)).withColumn("_h2", F.xxhash64("key_entry", "db_id", F.lit(7))).withColumn("_h3", F.hash(*KEY))
     old = hashed(known.distinct()).select(
         F.lit(None).cast("bigint").alias("db_id"), F.lit(None).cast("binary").alias("key_entry"),
-        F.lit(None).cast("bigint").alias("first_no"), "_h1", "_h2", "_h3", F.lit(0).alias("_side"),
+        F.lit(None).cast("bigint").alias("first_no"), F.lit(None).cast("bigint").alias("n_arrivals"), "_h1", "_h2", "_h3", F.lit(0).alias("_side"),
     )
-    new = hashed(first_arrivals(arrivals)).select(*KEY, "first_no", "_h1", "_h2", "_h3", F.lit(1).alias("_side"))
+    new = hashed(first_arrivals(arrivals)).select(*KEY, "first_no", "n_arrivals", "_h1", "_h2", "_h3", F.lit(1).alias("_side"))
     # A hash of its own: within a shard the positions of h1 and h2 stay evenly spread.
     rows = old.unionByName(new).withColumn("_shard", F.pmod("_h3", F.lit(n_shards)))
     return (
@@ -173,15 +173,15 @@ def chain_answers(
         .sortWithinPartitions("_shard", "_side", "first_no")
         .mapInArrow(
             _answers(options),
-            "db_id bigint, key_entry binary, first_no bigint, maybe boolean, bound double, n_layers int",
+            "db_id bigint, key_entry binary, first_no bigint, n_arrivals bigint, maybe boolean, bound double, n_layers int",
         )
     )
 
 
 def first_arrivals(arrivals: DataFrame) -> DataFrame:
-    """The lowest in_no of every store and key that arrives."""
+    """The lowest in_no of every store and key that arrives, and how often it arrives (n_arrivals)."""
     keys = arrivals.where(F.col("key_entry").isNotNull())
-    return keys.groupBy(*KEY).agg(F.min("in_no").alias("first_no"))
+    return keys.groupBy(*KEY).agg(F.min("in_no").alias("first_no"), F.count(F.lit(1)).alias("n_arrivals"))
 
 
 def checked_answers(history: DataFrame, arrivals: DataFrame, options: ChainOptions = ChainOptions()) -> DataFrame:
@@ -242,25 +242,32 @@ def section_answers(sections: DataFrame, keys: DataFrame) -> DataFrame:
 def wrong_answers(
     history: DataFrame, arrivals: DataFrame, sections: DataFrame, options: ChainOptions = ChainOptions()
 ) -> DataFrame:
-    """Share of wrong answers by filter (chain, table_sections) over first arrivals.
+    """Share of wrong answers by filter (chain, table_sections) over all arriving records with a key.
 
-    n_asked, n_new (not in the history), n_wrong_seen (new but called seen),
-    n_wrong_new (in the history but called new), wrong_share (of all asked),
-    bound (promised for the chain).
+    n_asked, n_new (neither in the history nor in an earlier arrival),
+    n_wrong_seen (new but called seen), n_wrong_new (not new but called new),
+    wrong_share (of all asked), bound (promised for the chain).
+
+    Answers are taken per key and weighted by its arrivals: a later arrival is
+    never new; the chain has the key by then and says so, while the stored
+    sections know nothing of arrivals and say of each what they said of the first.
     """
     truth = checked_answers(history, arrivals, options)
     old = history.where(F.col("key_entry").isNotNull()).select(*KEY).distinct().withColumn("_old", F.lit(True))
     keys = first_arrivals(arrivals).join(old, KEY, "left").withColumn("seen", F.coalesce("_old", F.lit(False))).drop("_old")
     by_sections = section_answers(sections, keys).withColumn("bound", F.lit(None).cast("double"))
-    both = truth.select(F.lit("chain").alias("filter"), "maybe", "seen", "bound").unionByName(
-        by_sections.select(F.lit("table_sections").alias("filter"), "maybe", "seen", "bound")
+    denied = F.when(F.col("maybe"), 0).otherwise(F.col("n_arrivals") - 1)
+    both = truth.select(F.lit("chain").alias("filter"), "n_arrivals", F.lit(0).alias("n_denied"), "maybe", "seen", "bound").unionByName(
+        by_sections.select(F.lit("table_sections").alias("filter"), "n_arrivals", denied.alias("n_denied"), "maybe", "seen", "bound")
     )
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    # Of first arrivals; n_denied are the later ones that are called new.
+    wrong_seen, wrong_new = count(F.col("maybe") & ~F.col("seen")), count(~F.col("maybe") & F.col("seen")) + F.sum("n_denied")
     return both.groupBy("filter").agg(
-        F.count(F.lit(1)).alias("n_asked"),
+        F.sum("n_arrivals").alias("n_asked"),
         count(~F.col("seen")).alias("n_new"),
-        count(F.col("maybe") & ~F.col("seen")).alias("n_wrong_seen"),
-        count(~F.col("maybe") & F.col("seen")).alias("n_wrong_new"),
-        (count(F.col("maybe") != F.col("seen")) / F.count(F.lit(1))).alias("wrong_share"),
+        wrong_seen.alias("n_wrong_seen"),
+        wrong_new.alias("n_wrong_new"),
+        ((wrong_seen + wrong_new) / F.sum("n_arrivals")).alias("wrong_share"),
         F.max("bound").alias("bound"),
     )

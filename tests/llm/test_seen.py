@@ -71,6 +71,17 @@ def test_wrong_share_is_reported_and_bounded(spark):
     assert rows["table_sections"]["n_wrong_new"] == 1  # the empty section denies the old key
 
 
+def test_every_arrival_is_asked(spark):
+    new = [(i, 1, bytearray(b"hot")) for i in range(9)] + [(20 + i, 1, bytearray(b"old")) for i in range(3)] + [(30, 1, None)]
+    h, a = tables(spark, [(1, bytearray(b"old"))], new)
+    sections = spark.createDataFrame([(1, 1, 128, 2, 9, bytearray(128))], SCHEMAS["bloom_sections"])
+    rows = {r["filter"]: r for r in wrong_answers(h, a, sections).collect()}
+    c, t = rows["chain"], rows["table_sections"]
+    assert (c["n_asked"], c["n_new"], c["n_wrong_seen"], c["n_wrong_new"]) == (12, 1, 0, 0)
+    # The empty section denies 8 later arrivals of the new key and all 3 of the old one.
+    assert (t["n_asked"], t["n_new"], t["n_wrong_seen"], t["n_wrong_new"], t["wrong_share"]) == (12, 1, 0, 11, 11 / 12)
+
+
 def test_every_shard_reports_a_bound(spark):
     h, a = tables(spark, [(1, bytearray(b"a%d" % i)) for i in range(3000)], [(i, 1, bytearray(b"b%d" % i)) for i in range(100)])
     rows = chain_answers(h, a, ChainOptions(first_capacity=16)).collect()
