@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions.expressions import normal_path
 from siltstone.operators.small_files import newest_files
@@ -124,7 +125,7 @@ def deleted_table_references(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     deletes = (
         rows.where(F.col("op") == "delete")
-        .select("_key", (F.col("edit_no") * 2 - 1).alias("_at"), "db_id", "edit_no", "table_id", "committed_at")
+        .select("_key", (F.col("edit_no") * 2 - 1).alias("_at"), "db_id", "edit_no", "table_id", "level", "committed_at")
         .distinct()
     )
     return deletes, events
@@ -144,35 +145,40 @@ def table_path_references(catalog: DataFrame, footers: DataFrame) -> tuple[DataF
 
 
 def orphan_rows(edits: DataFrame, catalog: DataFrame, footers: DataFrame) -> DataFrame:
-    """All orphan references of a fleet: ref_kind, db_id, edit_no, table_id, committed_at, reason.
+    """All orphan references of a fleet, each once: ref_kind, db_id, edit_no, table_id, level, file, committed_at, reason.
 
-    Two different delete rows of one table in one edit: the first takes effect,
-    the second finds nothing left and is an orphan as well.
+    level tells deletes of one table at several levels apart, file (the
+    normalised path) several dangling paths of one table; the other kind has
+    null there. Different delete rows of one table in one edit: the first (by
+    time, null last) takes effect if the table is live, each further one finds
+    nothing left and is an orphan as well.
     """
     deletes, events = deleted_table_references(edits)
     paths, files = table_path_references(catalog, footers)
     # Both kinds are probed in one pass; the kind is part of the key.
     own = lambda df, kind: df.withColumn("ref_kind", F.lit(kind)).withColumn("_key", F.concat(F.lit(kind + "|"), "_key"))
-    cols = ["ref_kind", "db_id", "edit_no", "table_id", "committed_at", "reason"]
+    cols = ["ref_kind", "db_id", "edit_no", "table_id", "level", "file", "committed_at"]
+    deletes = deletes.withColumn("file", F.lit(None).cast("string"))
+    paths = paths.withColumns({"level": F.lit(None).cast("int"), "file": F.col("_key")})
     missed = orphans(
         own(deletes, "deleted_table").unionByName(own(paths, "table_path")),
         own(events, "deleted_table").unionByName(own(files, "table_path")).drop("ref_kind"),
-    ).select(*cols)
+    ).select(*cols, "reason")
+    in_edit = Window.partitionBy("_key", "edit_no").orderBy(F.col("committed_at").asc_nulls_last())
     again = (
-        deletes.where(F.col("_key").isNotNull()).groupBy("_key", "db_id", "edit_no", "table_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.max("committed_at").alias("committed_at"))
+        deletes.where(F.col("_key").isNotNull())
+        .withColumn("n", F.row_number().over(in_edit))
         .where("n > 1")
-        .select(F.lit("deleted_table").alias("ref_kind"), "db_id", "edit_no", "table_id", "committed_at", F.lit("deleted").alias("reason"))
-        .select(*cols)
-    )
-    return missed.unionByName(again)
+        .select(F.lit("deleted_table").alias("ref_kind"), *cols[1:], F.lit("deleted").alias("reason"))
+    )
+    # Rows of both sides are one; the probe's own reason, if another, sorts after "deleted".
+    return missed.unionByName(again).groupBy(*cols).agg(F.max("reason").alias("reason"))
 
 
 def orphan_counts(edits: DataFrame, catalog: DataFrame, footers: DataFrame) -> DataFrame:
     """Orphans per referring table and month of committed_at; a null time is a period of its own."""
     return (
         orphan_rows(edits, catalog, footers)
-        .distinct()
         .groupBy(
             F.when(F.col("ref_kind") == "deleted_table", "manifest_edits").otherwise("table_meta").alias("referring_table"),
             "ref_kind",

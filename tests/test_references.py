@@ -1,5 +1,6 @@
 """Problem 4: orphan references against a model."""
 
+import datetime as dt
 import random
 
 import pytest
@@ -77,3 +78,23 @@ def test_counts_have_a_null_month(spark):
     rows = [(1, 4, "delete", 8, 0, "synced"), (1, 5, "delete", 9, 0, "synced")]
     got = orphan_counts(edits(spark, rows), empty(spark, "table_meta"), empty(spark, "sst_footers")).collect()
     assert [(r["referring_table"], r["month"], r["n_orphans"]) for r in got] == [("manifest_edits", None, 2)]
+
+
+def test_counts_tell_levels_paths_and_repeats_apart(spark):
+    rows = [
+        (1, 1, "add", 7, 0, "synced"), (1, 2, "delete", 7, 0, "synced"), (1, 2, "delete", 7, 0, "synced"),
+        (1, 3, "delete", 8, 0, "synced"), (1, 3, "delete", 8, 1, "synced"),  # two levels
+    ]
+    times = [None, None, dt.datetime(2024, 1, 1), *[None] * 2]
+    # Table 7 is live: of three differing deletes the earliest takes effect. Table 9 is not: all three are orphans.
+    rows += [(1, 2, "delete", 7, 0, "synced"), *[(1, 4, "delete", 9, 0, "synced")] * 3]
+    times += [dt.datetime(2024, 1, 2), None, dt.datetime(2024, 1, 3), dt.datetime(2024, 2, 3)]
+    full = [(db, no, op, t, level, *[None] * 13, state, at) for (db, no, op, t, level, state), at in zip(rows, times, strict=True)]
+    meta = [(1, 5, 0, p, *[None] * 9, 1, None) for p in ("x", "./x", "y")]
+    got = orphan_counts(
+        spark.createDataFrame(full, SCHEMAS["manifest_edits"]), spark.createDataFrame(meta, SCHEMAS["table_meta"]),
+        empty(spark, "sst_footers"),
+    ).collect()
+    assert {(r["ref_kind"], r["month"]): r["n_orphans"] for r in got} == {
+        ("deleted_table", None): 4, ("deleted_table", "2024-01"): 2, ("deleted_table", "2024-02"): 1, ("table_path", None): 2,
+    }
