@@ -330,13 +330,21 @@ def p1_state(spark: SparkSession, d: str) -> DataFrame:
     return _out(state, "db_id", "key_entry", "seq_num", "value_entry", "logged_at")
 
 
-def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of key and sequence in unread log files and in no read one: db_id, key_hex, seq_num."""
+def _incremental_runs(spark: SparkSession, d: str) -> list[tuple[int, DataFrame]]:
+    """Version and added rows of two runs into a published target: over the read files, then over the whole log."""
     tables = (load(spark, d, t) for t in ("changelog", "manifest_edits", "wal_headers"))
     marked = incremental.split_log(*tables)
-    fresh = incremental.new_records(
-        marked.where("NOT was_read"), marked.where("was_read"), ["db_id", "key_entry", "seq_num"]
-    )
+    identity = ["db_id", "key_entry", "seq_num"]
+    target = incremental.IncrementalTarget(spark, f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}", identity)
+    return [target.run(marked.where("was_read")), target.run(marked)]
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of key and sequence in unread log files and in no read one: db_id, key_hex, seq_num.
+
+    The rows that the second run adds to the published target.
+    """
+    _, (_, fresh) = _incremental_runs(spark, d)
     return _out(fresh, "db_id", "key_entry", "seq_num")
 
 
@@ -345,11 +353,7 @@ def p2_runs(spark: SparkSession, d: str) -> DataFrame:
 
     The second run adds exactly the rows of p2_found.
     """
-    tables = (load(spark, d, t) for t in ("changelog", "manifest_edits", "wal_headers"))
-    marked = incremental.split_log(*tables)
-    identity = ["db_id", "key_entry", "seq_num"]
-    target = incremental.IncrementalTarget(spark, f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}", identity)
-    done = [target.run(marked.where("was_read")), target.run(marked)]
+    done = _incremental_runs(spark, d)
     counts = [rows.groupBy("db_id").agg(F.count(F.lit(1)).alias("n")).withColumn("version", F.lit(v)) for v, rows in done]
     return counts[0].unionByName(counts[1]).select("db_id", "version", "n")
 

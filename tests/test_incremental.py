@@ -3,6 +3,7 @@
 import pytest
 
 from siltstone.operators.incremental import IncrementalTarget, new_records, read_frontier, split_log
+from siltstone.plans.queries import QUERIES
 from siltstone.sources.tables import SCHEMAS
 
 EDIT = "db_id bigint, op string, commit_state string, current_wal_id bigint, next_sequence_number bigint"
@@ -94,3 +95,12 @@ def test_clashing_columns_are_replaced(spark):
     )
     rows = split_log(log, spark.createDataFrame([], EDIT), spark.createDataFrame([], HEAD)).collect()
     assert [r["was_read"] for r in rows] == [False]
+
+
+def test_found_publishes_its_rows(spark, data, tmp_path, monkeypatch):
+    """p2_found's rows are those that version 2 of a published target adds."""
+    monkeypatch.setattr("siltstone.plans.queries.shared_dir", lambda _: f"file://{tmp_path}")
+    n = QUERIES["p2_found"](spark, data).count()
+    assert [p.name for p in sorted(tmp_path.glob("incremental-*/version-*.json"))] == ["version-1.json", "version-2.json"]
+    (added,) = tmp_path.glob("incremental-*/rows-2-*")
+    assert spark.read.parquet(f"file://{added}").distinct().count() == n > 0
