@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.expressions import valid_record
 from siltstone.functions.joins import join_small
+from siltstone.sources.published import Folder
 
 
 def read_frontier(edits: DataFrame, headers: DataFrame) -> DataFrame:
@@ -69,56 +70,76 @@ class IncrementalTarget:
     """A versioned target table in a shared folder, which is at the same time the state of its runs.
 
     ``run`` anti-joins the source against the current version, writes the rows
-    that are new to a folder of their own and publishes a new version by
-    renaming one pointer file, which lists all folders of that version, to
-    ``version-N.json``. The rename is atomic, so readers see the old version
-    or the new one; a run that finds version N taken fails and has changed
-    nothing. A run that dies earlier leaves a folder no version names; the
-    next run ignores it. Stores without atomic rename need one writer at a time.
+    that are new to a folder of their own and publishes a new version, which
+    lists the folders of its rows, by one atomic rename. A run that finds its
+    version taken fails and has changed nothing. A run that dies earlier leaves
+    a folder no version names: later runs ignore it, ``clean`` removes it.
+
+    A version lists at most ``max_folders`` folders: beyond that a run rewrites
+    the smaller half as one, so versions, their bodies and the scans of the next
+    run stay small. The schema is part of the version; nothing is inferred.
     """
 
-    def __init__(self, spark: SparkSession, path: str, identity: Sequence[str]):
-        self.spark, self.path, self.identity = spark, path.rstrip("/"), list(identity)
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self._fs.mkdirs(self._at(self.path))
+    def __init__(self, spark: SparkSession, path: str, identity: Sequence[str], max_folders: int = 64):
+        self.spark, self.identity, self.max_folders = spark, list(identity), max_folders
+        self._folder = Folder(spark, path)
+        self.path = self._folder.path
 
     def version(self) -> int:
         """The newest published version, 0 before the first."""
-        found = self._fs.globStatus(self._at(f"{self.path}/version-*.json")) or []
-        return max([0, *(int(s.getPath().getName()[8:-5]) for s in found)])
+        return self._folder.version()
 
-    def _folders(self, version: int) -> list[str]:
-        if not version:
-            return []
-        lines = self.spark.read.text(f"{self.path}/version-{version}.json").collect()
-        return json.loads("".join(r[0] for r in lines))["folders"]
+    def _rows(self, state: dict, names: Sequence[str]) -> DataFrame:
+        schema = T.StructType.fromJson(state["schema"])
+        return self.spark.read.schema(schema).parquet(*(f"{self.path}/{n}" for n in names))
 
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version, None before the first."""
-        folders = self._folders(self.version() if version is None else version)
-        return self.spark.read.parquet(*(f"{self.path}/{f}" for f in folders)) if folders else None
+        state = self._folder.state(version)
+        return self._rows(state, state["folders"]) if state else None
 
     def run(
         self, source: DataFrame, process: Callable[[DataFrame], DataFrame] | None = None
-    ) -> tuple[int, DataFrame | None]:
+    ) -> tuple[int, DataFrame]:
         """Process what is new in ``source``; the version published and the rows added by it.
 
         ``process`` may add columns but must keep the identity; rows it drops come up again in the next run.
+        All versions have the columns of the first.
         """
         base = self.version()
-        have = self.read(base)
+        state = self._folder.state(base)
+        have = self._rows(state, state["folders"]) if state else None
         fresh = source.select(*self.identity).distinct() if have is None else new_records(source, have, self.identity)
+        rows = process(fresh) if process else fresh
+        if missing := set(self.identity) - set(rows.columns):
+            raise ValueError(f"the identity lacks {sorted(missing)}")
+        if have is not None:
+            rows = rows.select(*have.columns)
         folder = f"rows-{base + 1}-{uuid.uuid4().hex}"
-        (process(fresh) if process else fresh).write.parquet(f"{self.path}/{folder}")
-        body = json.dumps({"version": base + 1, "folders": [*self._folders(base), folder]})
-        temp = self._at(f"{self.path}/.{folder}.json")
-        out = self._fs.create(temp, False)
-        out.write(bytearray(body.encode()))
-        out.close()
-        final = self._at(f"{self.path}/version-{base + 1}.json")
-        if self._fs.exists(final) or not self._fs.rename(temp, final):
-            self._fs.delete(temp, False)
-            raise RuntimeError(f"version {base + 1} was published by another run")
-        return base + 1, self.spark.read.parquet(f"{self.path}/{folder}")
+        rows.write.parquet(f"{self.path}/{folder}")
+        new = {"schema": state.get("schema") or rows.schema.jsonValue(), "folders": [*state.get("folders", []), folder], "added": folder}
+        if len(new["folders"]) > self.max_folders:
+            new["folders"] = self._merged(new, base + 1)
+        self._folder.publish(base + 1, new)
+        return base + 1, self._rows(new, [folder])
+
+    def _merged(self, state: dict, version: int) -> list[str]:
+        """The folders of a version with the smaller half of them, beside the newest, rewritten as one."""
+        *old, newest = state["folders"]
+        by_size = sorted(old, key=lambda n: sum(Folder(self.spark, f"{self.path}/{n}").sizes()))
+        small, rest = by_size[: len(old) // 2], by_size[len(old) // 2 :]
+        name = f"rows-{version}-{uuid.uuid4().hex}"
+        self._rows(state, small).coalesce(max(1, len(small))).write.parquet(f"{self.path}/{name}")
+        return [*rest, name, newest]
+
+    def clean(self, keep: int = 2) -> list[str]:
+        """Remove what none of the ``keep`` newest versions names: left by runs that died, or merged. No run may be under way."""
+        versions = self._folder.versions()
+        for v in versions[: -keep or None]:
+            self._folder.delete(f"version-{v}.json")
+        kept = [self._folder.state(v) for v in versions[-keep:]]
+        named = {n for s in kept for n in (*s["folders"], s["added"])}
+        gone = [n for n in self._folder.names("rows-*") if n not in named] + self._folder.names(".pending-*")
+        for n in gone:
+            self._folder.delete(n)
+        return gone

@@ -130,6 +130,23 @@ SELECT db_id, CASE WHEN was_read THEN 1 ELSE 2 END AS version, count(*) AS n FRO
     "p3_found": f"""WITH {FILES}
 SELECT DISTINCT db_id, table_id FROM listed JOIN files USING (file) JOIN level_targets USING (level)
 WHERE state = 'present' AND known_size < small_file_size""",
+    "p3_rows": f"""WITH {FILES},
+small AS (
+  SELECT DISTINCT db_id, table_id, level FROM listed JOIN files USING (file) JOIN level_targets USING (level)
+  WHERE state = 'present' AND known_size < small_file_size),
+moved AS (
+  SELECT DISTINCT r.* FROM run_records r
+  WHERE EXISTS (SELECT 1 FROM small s WHERE s.db_id = r.db_id AND s.table_id = r.table_id)),
+counted AS (
+  SELECT db_id, level, count(*) AS n_rows, count(DISTINCT table_id) AS files_before,
+    sum(25 + octet_length(key_entry) + coalesce(octet_length(value_entry), 0))::BIGINT AS record_bytes FROM moved GROUP BY ALL),
+kept AS (
+  SELECT db_id, level, count(*) AS files_kept
+  FROM (SELECT DISTINCT db_id, level, table_id FROM table_meta EXCEPT SELECT db_id, level, table_id FROM small) GROUP BY ALL)
+SELECT coalesce(c.db_id, k.db_id) AS db_id, coalesce(c.level, k.level) AS level, coalesce(n_rows, 0) AS n_rows,
+  coalesce(files_before, 0) AS files_before, coalesce(files_kept, 0) AS files_kept, coalesce(record_bytes, 0) AS record_bytes,
+  true AS whole
+FROM counted c FULL JOIN kept k ON k.db_id = c.db_id AND k.level = c.level""",
     "p4_found": f"""WITH {ORPHANS} SELECT DISTINCT ref_kind, db_id, edit_no, table_id FROM orphan""",
     "p4_counts": f"""WITH {ORPHANS}
 SELECT referring_table, ref_kind, strftime(committed_at, '%Y-%m') AS month, count(*) AS n_orphans FROM orphan GROUP BY ALL""",

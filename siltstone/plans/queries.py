@@ -5,7 +5,6 @@ Keys and values come out as upper-case hexadecimal.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.expressions import key_hex, valid_record
 from siltstone.operators import catalog, changes, checks, compaction, incremental, references, resolve, runs, wal
 from siltstone.operators.small_files import SmallFiles
-from siltstone.sources.tables import load, shared_dir
+from siltstone.sources.tables import load, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -335,7 +334,7 @@ def _incremental_runs(spark: SparkSession, d: str) -> list[tuple[int, DataFrame]
     tables = (load(spark, d, t) for t in ("changelog", "manifest_edits", "wal_headers"))
     marked = incremental.split_log(*tables)
     identity = ["db_id", "key_entry", "seq_num"]
-    target = incremental.IncrementalTarget(spark, f"{shared_dir(spark)}/incremental-{uuid.uuid4().hex}", identity)
+    target = incremental.IncrementalTarget(spark, scratch(spark, "incremental"), identity)
     return [target.run(marked.where("was_read")), target.run(marked)]
 
 
@@ -364,8 +363,13 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_files(spark: SparkSession, d: str) -> DataFrame:
-    """Consolidate all live tables; files before and after and the digest comparison per store and level."""
-    return files(spark, d).run()
+    """Consolidate the small live tables; files before and after and the digest comparison per store and level."""
+    return files(spark, d).run(scratch(spark, "small-files"))
+
+
+def p3_rows(spark: SparkSession, d: str) -> DataFrame:
+    """What SQL can tell of the consolidation: rows, small and kept tables of every store and level, all rows whole."""
+    return p3_files(spark, d).select("db_id", "level", "n_rows", "files_before", "files_kept", "record_bytes", "whole")
 
 
 def _orphan_tables(spark: SparkSession, d: str):
@@ -385,7 +389,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_state, p2_found, p2_runs, p3_found, p3_files, p4_found, p4_counts,
+        p1_found, p1_state, p2_found, p2_runs, p3_found, p3_files, p3_rows, p4_found, p4_counts,
         live_view, latest_view, live_count, point_get, multi_get, range_scan, read_path, known_keys, memtable_get, dedup_identity, merge_runs,
         ordered_dump, generations, oldest_generation, memtable_usage, sstable_get, table_meta, block_index,
         index_candidates, bloom_build, bloom_probe, estimate_size, block_packing, output_split, record_checksums,

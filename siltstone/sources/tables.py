@@ -7,8 +7,10 @@ from a file reads as null, and extra columns are pruned at the scan.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +44,9 @@ SCHEMAS = {
 }
 
 
+_SCRATCH: set[str] = set()
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a test-data directory."""
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
@@ -50,13 +55,51 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder shared by all executors for written tables and checkpoints.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) is a local one made, and removed when Python ends.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset
+    and everything runs in one process (a ``local[..]`` master, as in tests) is
+    an own one made, and removed when Python ends; on a cluster it is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     own = tempfile.mkdtemp(prefix="siltstone-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path below the application's own folder of the shared one, for a table that later steps read.
+
+    Results read such tables lazily, so they stay as long as the application
+    and go with it; what a killed driver leaves is one folder named by its id.
+    """
+    root = f"{shared_dir(spark)}/siltstone-{spark.sparkContext.applicationId}"
+    if root not in _SCRATCH:
+        _SCRATCH.add(root)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(_remove, jvm, conf, root)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def _remove(jvm, conf, root: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone
+        at = jvm.org.apache.hadoop.fs.Path(root)
+        at.getFileSystem(conf).delete(at, True)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows written once to a scratch table and read from there, which cuts the lineage."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop(table: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    spark = table.sparkSession
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

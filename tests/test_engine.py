@@ -185,11 +185,22 @@ def test_paths(spark):
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
-def test_join_small_is_the_same_beyond_the_bound(spark, how):
-    big = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(200)], "k int, v int")
-    small = spark.createDataFrame([(0, "x"), (1, "y"), (7, "z")], "k int, w string")
-    got = [sorted(map(str, join_small(big, small, ["k"], how, max_rows=n).collect())) for n in (10, 2)]
-    assert got[0] == got[1] == sorted(map(str, big.join(small, ["k"], how).collect()))
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_join_small_broadcasts_only_within_its_bound(spark, how, kind):
+    big = spark.createDataFrame([(i % 3 if i % 5 else None, i) for i in range(200)], "k int, v int").withColumn("k", F.col("k").cast(kind))
+    small = spark.createDataFrame([(0, 1), (1, 2), (7, 3)], "k int, w int").withColumn("k", F.col("k").cast(kind))
+    want = sorted(map(str, big.join(small, ["k"], how).collect()))
+    for most, broadcast in ((1 << 20, True), (50, False)):
+        got = join_small(big, small, ["k"], how, max_bytes=most)
+        assert sorted(map(str, got.collect())) == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("BroadcastExchange" in plan) == broadcast and ("SortMergeJoin" in plan) != broadcast
+        assert "Generate" not in plan
+
+
+def test_join_small_refuses_clashing_columns(spark):
+    with pytest.raises(ValueError):
+        join_small(spark.range(3).withColumn("x", F.lit(1)), spark.range(3).withColumn("x", F.lit(1)), ["id"])
 
 
 def test_reads_on_empty_tables(spark):

@@ -99,8 +99,38 @@ def test_clashing_columns_are_replaced(spark):
 
 def test_found_publishes_its_rows(spark, data, tmp_path, monkeypatch):
     """p2_found's rows are those that version 2 of a published target adds."""
-    monkeypatch.setattr("siltstone.plans.queries.shared_dir", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr("siltstone.plans.queries.scratch", lambda _, name: f"file://{tmp_path}/{name}-x")
     n = QUERIES["p2_found"](spark, data).count()
     assert [p.name for p in sorted(tmp_path.glob("incremental-*/version-*.json"))] == ["version-1.json", "version-2.json"]
     (added,) = tmp_path.glob("incremental-*/rows-2-*")
     assert spark.read.parquet(f"file://{added}").distinct().count() == n > 0
+
+
+def test_run_killed_before_publishing_is_repeated_with_the_same_rows(spark, tmp_path, monkeypatch):
+    t = IncrementalTarget(spark, f"file://{tmp_path}/t", ID)
+    one = spark.createDataFrame([(1, "a", 1, ""), (1, "b", 2, "")], ROW)
+    both = one.unionByName(spark.createDataFrame([(1, "a", 3, ""), (2, None, 1, "")], ROW))
+    t.run(one)
+
+    def killed(version, state):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(t._folder, "publish", killed)
+        with pytest.raises(KeyboardInterrupt):
+            t.run(both)
+    assert t.version() == 1 and len(list(tmp_path.glob("t/rows-2-*"))) == 1  # written, never published
+    again = IncrementalTarget(spark, f"file://{tmp_path}/t", ID)
+    assert {tuple(r) for r in again.run(both)[1].collect()} == {(1, "a", 3), (2, None, 1)}
+    assert len(again.clean()) == 1 and again.read().count() == 4 and len(list(tmp_path.glob("t/rows-2-*"))) == 1
+
+
+def test_folders_of_a_version_stay_few(spark, tmp_path):
+    t = IncrementalTarget(spark, f"file://{tmp_path}/t", ID, max_folders=3)
+    for n in range(1, 8):
+        version, added = t.run(spark.createDataFrame([(1, "a", i, "") for i in range(n)], ROW))
+        assert version == n and [r["seq_num"] for r in added.collect()] == [n - 1]
+        assert len(t._folder.state()["folders"]) <= 4
+    t.clean()
+    assert sorted(r["seq_num"] for r in t.read().collect()) == list(range(7))
+    assert len(list(tmp_path.glob("t/version-*"))) == 2
