@@ -73,3 +73,15 @@ def bloom_slots(key: str | Column) -> Column:
 def record_bytes(key: str = "key_entry", value: str = "value_entry", overhead: int = RECORD_HEADER_BYTES) -> Column:
     """Stored size of a record; a null value counts as empty."""
     return (F.lit(overhead) + F.octet_length(key) + F.coalesce(F.octet_length(value), F.lit(0))).cast("bigint")
+
+
+def little_endian(value: str | Column, n_bytes: int) -> Column:
+    """The low bytes of a non-negative number, least significant first."""
+    digits = F.lpad(F.hex(F.col(value) if isinstance(value, str) else value), 2 * n_bytes, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(n_bytes, 0, -1)]))
+
+
+def from_little_endian(data: str | Column, start: int, n_bytes: int) -> Column:
+    """The unsigned number in some bytes, counted from 1, of binary data."""
+    digits = F.hex(F.substring(data, start, n_bytes))
+    return F.conv(F.concat(*[F.substring(digits, 2 * i - 1, 2) for i in range(n_bytes, 0, -1)]), 16, 10).cast("bigint")

@@ -2,42 +2,62 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from siltstone.functions.expressions import normal_path
+from siltstone.functions.joins import join_small
 from siltstone.operators.small_files import newest_files
+from siltstone.sources.tables import written
 
 _PARENT, _REFERENCE = 0, 1
+#: Parents a range holds at most, if keys hash evenly: about 100 MB of arrays.
+RANGE_ROWS = 1 << 20
 
 
 class _Range:
-    """The parents of one key range as sorted arrays."""
-
-    def __init__(self, keys: list, at: list, alive: list):
-        names = np.array(keys, dtype=object)
-        self.keys, code = np.unique(names, return_inverse=True) if len(names) else (names, np.zeros(0, np.int64))
-        times = np.array(at, dtype=np.int64)
-        order = np.lexsort((times, code))
-        self.times = np.unique(times)
-        self.alive = np.array(alive, dtype=bool)[order]
-        self.place = code[order] * (len(self.times) + 1) + np.searchsorted(self.times, times[order], "right")
-
-    def probe(self, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """For each reference: found, missing, deleted or later; two binary searches over the whole batch."""
-        verdict = np.full(len(keys), "missing", dtype=object)
-        if not len(self.keys):
+    """The parents of one key range as sorted arrays: hashes, keys (Arrow) and positions; no Python object per key."""
+
+    def __init__(self, parents: pa.Table):
+        """Rows sorted by hash, key and position."""
+        h, at = (parents.column(c).to_numpy() for c in ("_h", "_at"))
+        keys = parents.column("_key").cast(pa.large_string()).combine_chunks()
+        keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
+        first = np.ones(len(h), bool)
+        if len(h) > 1:
+            first[1:] = (h[1:] != h[:-1]) | pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(first)
+        self.hashes, self.keys = h[starts], keys.take(pa.array(starts))
+        self.times = np.unique(at)
+        self.alive = parents.column("_alive").to_numpy()
+        self.place = (np.cumsum(first) - 1) * (len(self.times) + 1) + np.searchsorted(self.times, at, "right")
+
+    def _codes(self, h: np.ndarray, keys: pa.Array) -> np.ndarray:
+        """The number of each key among the parents, -1 if there is none: by hash, then compared itself."""
+        code = np.full(len(h), -1, np.int64)
+        at, rest = np.searchsorted(self.hashes, h), np.arange(len(h))
+        while len(rest := rest[(at[rest] < len(self.hashes)) & (self.hashes[np.minimum(at[rest], len(self.hashes) - 1)] == h[rest])]):
+            same = pc.equal(self.keys.take(pa.array(at[rest])), keys.take(pa.array(rest))).to_numpy(zero_copy_only=False)
+            code[rest[same]] = at[rest[same]]
+            rest = rest[~same]  # another key of this hash
+            at[rest] += 1
+        return code
+
+    def probe(self, h: np.ndarray, keys: pa.Array, at: np.ndarray) -> np.ndarray:
+        """For each reference: found, missing, deleted or later; binary searches over the whole batch."""
+        verdict = np.full(len(h), "missing", dtype=object)
+        if not len(self.hashes):
             return verdict
-        code = np.searchsorted(self.keys, keys)
-        known = code < len(self.keys)
-        known[known] = self.keys[code[known]] == keys[known]
-        code = code[known]
-        stride = len(self.times) + 1
+        code = self._codes(h, keys)
+        known = code >= 0
+        code, stride = code[known], len(self.times) + 1
         last = np.searchsorted(self.place, code * stride + np.searchsorted(self.times, at[known], "right"), "right") - 1
         before = (last >= 0) & (self.place[last] // stride == code)
         verdict[known] = np.where(before, np.where(self.alive[last], "found", "deleted"), "later")
@@ -45,28 +65,28 @@ class _Range:
 
 
 def _probe_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within a partition parents sort before references, so the arrays are complete when the first batch probes."""
-    keys, at, alive, parents = [], [], [], None
+    """Within a range parents sort before references, so the arrays are complete when the first batch probes."""
+    held: list[pa.RecordBatch] = []
+    parents = None
     for b in batches:
-        side = b.column("_side").to_numpy(zero_copy_only=False)
-        n = int(np.searchsorted(side, _REFERENCE))
+        n = int(np.searchsorted(b.column("_side").to_numpy(), _REFERENCE))
         if n:
-            keys += b.column("_key").slice(0, n).to_pylist()
-            at += b.column("_at").slice(0, n).to_pylist()
-            alive += b.column("_alive").slice(0, n).to_pylist()
+            held.append(b.slice(0, n))
         if n < len(b):
-            parents = parents or _Range(keys, at, alive)
-            k = np.array(b.column("_key").slice(n).to_pylist(), dtype=object)
-            t = b.column("_at").slice(n).to_numpy(zero_copy_only=False)
-            found = parents.probe(k, t)
-            missed = found != "found"
+            if parents is None:
+                parents = _Range(pa.Table.from_batches(held, b.schema))
+                held = []
+            rest = b.slice(n)
+            keys, at = rest.column("_key").cast(pa.large_string()), rest.column("_at").to_numpy()
+            found = parents.probe(rest.column("_h").to_numpy(), keys, at)
+            missed = pa.array(np.flatnonzero(found != "found"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k[missed], pa.string()), pa.array(t[missed], pa.int64()), pa.array(found[missed], pa.string())],
+                [rest.column("_key").take(missed), rest.column("_at").take(missed), pa.array(found, pa.string()).take(missed)],
                 names=["_key", "_at", "reason"],
             )
 
 
-def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
+def orphans(references: DataFrame, parents: DataFrame, parent_rows: int | None = None) -> DataFrame:
     """The rows of ``references`` whose parent does not exist, with a ``reason``.
 
     ``references`` has ``_key`` (string) and ``_at`` (bigint, a position in
@@ -78,10 +98,13 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
 
     Both sides are reduced to distinct keys and positions first, so a key that
     a third of all rows refer to is probed once. They are then partitioned by
-    ranges of the key; each range's parents become sorted arrays (memory for
-    one range of distinct parents, no more) and the references are probed in
-    Arrow batches by binary search. Only misses leave Python; they are joined
-    back to their rows, where AQE splits a hot missing key.
+    equal ranges of the key's hash, so ranges are even without sampling; their
+    number follows ``parent_rows`` (an upper bound of the parents, counted if not
+    given), at most about RANGE_ROWS parents each. A range's parents become
+    sorted arrays, and the references are probed in Arrow batches by binary
+    search; keys of equal hash are compared themselves. Only misses leave
+    Python; they are written once and joined back to their rows, broadcast if
+    they are few, else by a sort-merge join in which AQE splits a hot missing key.
 
     A column ``reason`` of the references is replaced.
 
@@ -89,6 +112,9 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
     are keys. Without references the result is empty, without parents every
     reference is missing.
     """
+    spark = references.sparkSession
+    rows = parents.count() if parent_rows is None else parent_rows
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows / RANGE_ROWS))
     refs = references.drop("reason").where(F.col("_key").isNotNull() & F.col("_at").isNotNull())
     asked = refs.select("_key", "_at").distinct()
     known = (
@@ -96,15 +122,17 @@ def orphans(references: DataFrame, parents: DataFrame) -> DataFrame:
         .groupBy("_key", "_at")
         .agg(F.min("_alive").alias("_alive"))
     )
-    sides = known.select("_key", "_at", "_alive", F.lit(_PARENT).alias("_side")).unionByName(
-        asked.select("_key", "_at", F.lit(True).alias("_alive"), F.lit(_REFERENCE).alias("_side"))
+    h = F.xxhash64("_key")
+    sides = known.select("_key", "_at", "_alive", F.lit(_PARENT).alias("_side"), h.alias("_h")).unionByName(
+        asked.select("_key", "_at", F.lit(True).alias("_alive"), F.lit(_REFERENCE).alias("_side"), h.alias("_h"))
     )
+    share = F.shiftright("_h", 32) + F.lit(1 << 31)  # the upper half of the hash, from 0
     missed = (
-        sides.repartitionByRange("_key")
-        .sortWithinPartitions("_side", "_key", "_at")
+        sides.repartitionById(n, F.floor(share * n / F.lit(1 << 32)).cast("int"))
+        .sortWithinPartitions("_side", "_h", "_key", "_at")
         .mapInArrow(_probe_ranges, "_key string, _at bigint, reason string")
     )
-    return refs.join(missed, ["_key", "_at"])
+    return join_small(refs, written(missed, "orphans"), ["_key", "_at"], "inner")
 
 
 def deleted_table_references(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -163,6 +191,7 @@ def orphan_rows(edits: DataFrame, catalog: DataFrame, footers: DataFrame) -> Dat
     missed = orphans(
         own(deletes, "deleted_table").unionByName(own(paths, "table_path")),
         own(events, "deleted_table").unionByName(own(files, "table_path")).drop("ref_kind"),
+        edits.count() + footers.count(),
     ).select(*cols, "reason")
     in_edit = Window.partitionBy("_key", "edit_no").orderBy(F.col("committed_at").asc_nulls_last())
     again = (

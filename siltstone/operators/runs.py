@@ -26,35 +26,44 @@ from siltstone.functions.expressions import (
 TABLE = ["db_id", "table_id"]
 
 
-def fold_sorted(rows: DataFrame, group: list[str], order: list, size: str, step: Callable, out: str) -> DataFrame:
+def fold_sorted(
+    rows: DataFrame, group: list[str], order: list, size: str, step: Callable, out: str, key: str | None = None
+) -> DataFrame:
     """A sequential fold over each group in order, as ``out`` (bigint) beside every row.
 
     ``step(state, size, key_changed) -> (state, result)`` starts from None in
-    each group. Groups are hash-partitioned and sorted by Spark (spilling as
-    needed) and streamed through Arrow batches; only the state of the current
-    group is held.
+    each group; ``key_changed`` is about column ``key``, if given. Groups are
+    hash-partitioned and sorted by Spark (spilling as needed) and streamed
+    through Arrow batches, of which only group, size and key become Python
+    values; only the state of the current group is held. Callers select what they need beforehand.
     """
     sized = rows.drop(out).repartition(*group).sortWithinPartitions(*group, *order)
     schema = T.StructType([*sized.schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = key = state = None
+        at = last = state = None
         for b in batches:
-            groups = list(zip(*(b.column(g).to_pylist() for g in group), strict=True))
+            groups = zip(*(b.column(g).to_pylist() for g in group), strict=True)
+            keys = b.column(key).to_pylist() if key else [None] * len(b)
             results = []
-            for g, k, n in zip(groups, b.column("key_entry").to_pylist(), b.column(size).to_pylist(), strict=True):
+            for g, k, n in zip(groups, keys, b.column(size).to_pylist(), strict=True):
                 if g != at:
-                    at, state, key = g, None, None
-                state, r = step(state, n, k != key)
-                key = k
+                    at, state, last = g, None, None
+                state, r = step(state, n, k != last)
+                last = k
                 results.append(r)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(results, pa.int64())], [*b.schema.names, out])
 
     return sized.mapInArrow(run, schema)
 
 
+def _sizes(runs: DataFrame) -> DataFrame:
+    """What packing needs of each record: no value moves."""
+    return runs.select(*TABLE, "key_entry", "seq_num", record_bytes().alias("record_size"))
+
+
 def pack_blocks(runs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Greedy block packing of each table: ``packed_block`` and ``record_size`` beside every record.
+    """Greedy block packing of each table: db_id, table_id, key_entry, seq_num, record_size, packed_block of every record.
 
     A record joins the current block if header, earlier records and the record
     fit into ``block_bytes``, else it opens the next one. A record too large
@@ -69,12 +78,11 @@ def pack_blocks(runs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             block, used = block + 1, BLOCK_HEADER_BYTES
         return (block, used + n), block
 
-    sized = runs.withColumn("record_size", record_bytes())
-    return fold_sorted(sized, TABLE, ["key_entry", F.col("seq_num").desc()], "record_size", step, "packed_block")
+    return fold_sorted(_sizes(runs), TABLE, ["key_entry", F.col("seq_num").desc(), "record_size"], "record_size", step, "packed_block")
 
 
 def split_outputs(runs: DataFrame, max_bytes: int) -> DataFrame:
-    """Output files of each table: ``file_no`` beside every record.
+    """Output files of each table: db_id, table_id, key_entry, seq_num, record_size, file_no of every record.
 
     The next file starts once the current one holds ``max_bytes`` or more, and
     only where the key changes: the versions of a key never straddle two files.
@@ -86,8 +94,8 @@ def split_outputs(runs: DataFrame, max_bytes: int) -> DataFrame:
             no, used = no + 1, 0
         return (no, used + n), no
 
-    sized = runs.withColumn("record_size", record_bytes())
-    return fold_sorted(sized, TABLE, ["key_entry", F.col("seq_num").desc()], "record_size", step, "file_no")
+    order = ["key_entry", F.col("seq_num").desc(), "record_size"]
+    return fold_sorted(_sizes(runs), TABLE, order, "record_size", step, "file_no", "key_entry")
 
 
 def table_stats(runs: DataFrame) -> DataFrame:

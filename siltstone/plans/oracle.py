@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.plans.queries import GENERATION, HIGH, HOT_KEY, LOW, OPTIONS, OUTPUT_BYTES
+from siltstone.plans.queries import DAMAGED, GENERATION, HIGH, HOT_KEY, LOW, OPTIONS, OUTPUT_BYTES
 
 _BLOB = lambda b: "'" + "".join(f"\\x{x:02X}" for x in b) + "'::BLOB"
 KEY, LO, HI = _BLOB(HOT_KEY), _BLOB(LOW), _BLOB(HIGH)
@@ -95,7 +95,7 @@ def _fold(first: str, state: str, step: str, out: str) -> str:
     return f"""RECURSIVE {LIVE},
 numbered AS (
   SELECT db_id, table_id, kv + 25 AS size, key_entry,
-    row_number() OVER (PARTITION BY db_id, table_id ORDER BY key_entry, seq_num DESC, level, block_no, type, value_entry) AS i
+    row_number() OVER (PARTITION BY db_id, table_id ORDER BY key_entry, seq_num DESC, kv) AS i
   FROM sized),
 flagged AS (
   SELECT db_id, table_id, size, i,
@@ -346,4 +346,33 @@ once AS (SELECT DISTINCT log_no, db_id, wal_id, key_entry, coalesce(value_entry,
 SELECT db_id, wal_id, count(*) AS n_records, 0::BIGINT AS n_corrupt, sum(octet_length(key_entry))::BIGINT AS key_bytes,
   sum(octet_length(value_entry))::BIGINT AS value_bytes, min(hex(key_entry)) AS least_key
 FROM once GROUP BY db_id, wal_id""",
+    "wal_fragment": f"""WITH RECURSIVE {VALID},
+once AS (SELECT DISTINCT log_no, db_id, wal_id, key_entry, coalesce(value_entry, ''::BLOB) AS value_entry, type, seq_num FROM valid),
+numbered AS (
+  SELECT coalesce(db_id, -1) AS d, coalesce(wal_id, -1) AS w, (8 + octet_length(key_entry) + octet_length(value_entry))::BIGINT AS size,
+    row_number() OVER (PARTITION BY db_id, wal_id ORDER BY log_no) AS i FROM once),
+-- p: where a fragment may begin; a block whose rest can't hold a header and a byte is skipped.
+fold AS (
+  SELECT d, w, i, size, 40::BIGINT AS p FROM numbered WHERE i = 1
+  UNION ALL
+  SELECT n.d, n.w, n.i, n.size, CASE WHEN 4096 - e % 4096 < 23 THEN (e // 4096 + 1) * 4096 ELSE e END
+  FROM (SELECT *, CASE WHEN size <= 4074 - p % 4096 THEN p + 22 + size
+      ELSE (p // 4096 + 1) * 4096 + (size - 4074 + p % 4096 - 1) // 4074 * 4096 + 22
+           + (size - 4074 + p % 4096 - 1) % 4074 + 1 END AS e FROM fold) f
+  JOIN numbered n ON n.d = f.d AND n.w = f.w AND n.i = f.i + 1),
+cut AS (
+  SELECT *, CASE WHEN size <= 4074 - p % 4096 THEN 1 ELSE 2 + (size - 4074 + p % 4096 - 1) // 4074 END AS n FROM fold)
+SELECT nullif(d, -1) AS db_id, nullif(w, -1) AS wal_id, sum(n)::BIGINT AS n_fragments, count(*) FILTER (WHERE n > 1) AS n_split,
+  sum(size)::BIGINT AS payload_bytes FROM cut GROUP BY d, w""",
+    "wal_recover": f"""WITH {VALID},
+once AS (SELECT DISTINCT log_no, db_id, wal_id, key_entry, coalesce(value_entry, ''::BLOB) AS value_entry, type, seq_num FROM valid),
+files AS (
+  SELECT db_id, wal_id, min(log_no) FILTER (WHERE seq_num % {DAMAGED} = 0) AS bad FROM once GROUP BY ALL),
+good AS (SELECT DISTINCT db_id, wal_id FROM wal_headers WHERE version = 1)
+SELECT f.db_id, f.wal_id, count(o.log_no) FILTER (WHERE g.db_id IS NOT NULL) AS n_records,
+  CASE WHEN g.db_id IS NULL THEN 'bad_header' WHEN bad IS NOT NULL THEN 'bad_checksum' END AS stopped_by,
+  coalesce(sum(octet_length(key_entry) + octet_length(value_entry)) FILTER (WHERE g.db_id IS NOT NULL), 0)::BIGINT AS n_bytes
+FROM files f LEFT JOIN good g ON g.db_id = f.db_id AND g.wal_id = f.wal_id
+LEFT JOIN once o ON o.db_id IS NOT DISTINCT FROM f.db_id AND o.wal_id IS NOT DISTINCT FROM f.wal_id AND (bad IS NULL OR o.log_no < bad)
+GROUP BY f.db_id, f.wal_id, g.db_id, bad""",
 }

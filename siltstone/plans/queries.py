@@ -25,6 +25,8 @@ LOW, HIGH = b"acct/", b"acct0"
 OPTIONS = compaction.CompactionOptions(level_limits=(150_000, 400_000, 4_000_000, 40_000_000, 400_000_000))
 GENERATION = 1_000
 OUTPUT_BYTES = 2_048
+#: Records whose sequence is a multiple of this get a wrong checksum in the recovery query.
+DAMAGED = 97
 
 
 
@@ -308,6 +310,23 @@ def wal_reassemble(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def wal_recover(spark: SparkSession, d: str) -> DataFrame:
+    """Recovery of damaged logs: the checksums of some records are wrong, and files may lack a readable header.
+
+    Per log file the records before the first damage, and what stopped reading (null: nothing).
+    """
+    fragments = wal.to_fragments(_logged(spark, d), ["log_no"])
+    broken = F.col("seq_num") % DAMAGED == 0
+    damaged = fragments.withColumn("checksum", F.col("checksum") + broken.cast("int"))
+    back = wal.to_records(damaged, load(spark, d, "wal_headers"))
+    whole = F.col("corruption").isNull()
+    return back.groupBy("db_id", "wal_id").agg(
+        F.sum(whole.cast("int")).alias("n_records"),
+        F.max("corruption").alias("stopped_by"),
+        F.sum(F.when(whole, F.octet_length("key_entry") + F.octet_length("value_entry")).otherwise(0)).alias("n_bytes"),
+    )
+
+
 # Problems 1 to 4
 
 
@@ -395,6 +414,6 @@ QUERIES: dict[str, Query] = {
         index_candidates, bloom_build, bloom_probe, estimate_size, block_packing, output_split, record_checksums,
         manifest_replay, counter_state, edit_outcomes, manifest_violations, level_stats, candidate_tables, overlapping_tables,
         should_compact, pick_source, compaction_plan, key_spans, plan_violations, stale_inputs, compact, compact_bottom, compact_range, record_violations,
-        order_violations, meta_consistency, bloom_consistency, wal_fragment, wal_reassemble,
+        order_violations, meta_consistency, bloom_consistency, wal_fragment, wal_reassemble, wal_recover,
     )
 }
