@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,13 +16,17 @@ from pyspark.sql import functions as F
 from siltstone.functions.joins import join_small
 from siltstone.llm.garble import LOST, SINGLE_BYTE, Chain, chains, garbled_forms, restore
 from siltstone.llm.tokens import spread
-from siltstone.sources.tables import shared_dir
+from siltstone.sources.tables import written
 
 #: ASCII characters that end a word; letters and digits don't.
 _BREAKS = bytes(c if chr(c).isalnum() or c > 127 else 32 for c in range(256))
 _BREAK_CHARS = re.compile(r"[\x00-\x09\x0b-/:-@\[-`{-\x7f]")
-#: Hashed positions are at most so many, 16 MB.
-BLOOM_BITS_MOST = 1 << 27
+#: The same cut as of ``words_of``, on characters.
+_TOKEN = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+#: Bits of one broadcast filter at most, 64 MB: enough for 33 million units; more units take further filters.
+FILTER_BITS_MOST = 1 << 29
+#: Bits for each unit, at least; with two positions a unit at most 1.4 % of other forms pass.
+FILTER_BITS_EACH = 16
 _SEED = 42  # of Spark's xxhash64
 
 WORD, RUN, GRAM, SHORT = "word", "run", "gram", "short"
@@ -153,7 +156,12 @@ def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)
 
 
-def _form_rows(every: list[Chain], filter_bits):
+def _slice_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """Which of the filters (a power of two) a hash belongs to."""
+    return (hashes ^ (hashes >> np.uint64(32))) & np.uint64(slices - 1)
+
+
+def _form_rows(every: list[Chain], filter_bits, no_of_slice: int, slices: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words64 = filter_bits.value
         number = {c: i for i, c in enumerate(every)}
@@ -167,7 +175,7 @@ def _form_rows(every: list[Chain], filter_bits):
                     # Words are cut at ASCII punctuation, so forms that have some can be words only without it.
                     forms = _BREAK_CHARS.sub(" ", "\n".join(forms)).split("\n")
                     hashed = np.fromiter((xxhash.xxh64_intdigest(f, _SEED) for f in forms), np.uint64, len(forms))
-                    hit = np.ones(len(forms), bool)
+                    hit = _slice_of(hashed, slices) == no_of_slice
                     for p in _positions(hashed, bits):
                         hit &= (words64[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63)) & np.uint64(1)).astype(bool)
                     for x in np.flatnonzero(hit).tolist():
@@ -191,8 +199,9 @@ class Mojibake:
     2. Words give units (themselves, their runs, pieces of unspaced runs) with
        the number of texts; one aggregation with a map-side partial.
     3. Every distinct clean unit is garbled under every encoding chain. Forms
-       that no unit equals are dropped at once by a Bloom filter of the units
-       (its size follows their number, 16 MB at most).
+       that no unit equals are dropped at once by a Bloom filter of the units.
+       Its size follows their number, so it never fills up; beyond 64 MB there
+       are several filters by the form's hash, each in a pass of its own.
     4. The forms are hash-joined with the units: a form that is a unit itself,
        and in far fewer texts than its original, is garbled. However frequent, a
        form is garbled that holds the UTF-8 of a known clean word without loss
@@ -216,38 +225,48 @@ class Mojibake:
         )
         self._table: DataFrame | None = None
         self._hits: DataFrame | None = None
+        self._words: DataFrame | None = None
 
     def _parts(self) -> int:
         sc = self.spark.sparkContext
         return max(2 * sc.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
 
-    def _written(self, df: DataFrame) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/mojibake-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
     def table(self) -> DataFrame:
         """(h, word): the distinct words beyond ASCII of every different text."""
         if self._table is None:
             rows = self.texts.where(F.col("text").isNotNull()).select("h", F.col("text").cast("binary").alias("text"))
-            self._table = self._written(spread(rows).mapInArrow(_tokens, "h bigint, word string").distinct())
+            self._table = written(spread(rows).mapInArrow(_tokens, "h bigint, word string").distinct(), "mojibake-words")
         return self._table
 
     def pieces(self) -> DataFrame:
         """(word, unit, kind, n_texts, source, target) of every distinct word."""
         words = self.table().groupBy("word").agg(F.count(F.lit(1)).alias("n_texts"))
-        # The work per row is large, so the parts follow the cores rather than the bytes.
-        words = words.repartition(self._parts(), "word")
+        # The work per row is large, so the parts follow the cores rather than the bytes: partitioned by another
+        # expression than the aggregation, or Spark would drop this shuffle and merge small parts.
+        words = words.repartition(self._parts(), F.xxhash64("word"))
         return words.mapInArrow(_pieces, _PIECES)
 
-    def _filter(self, units: DataFrame):
-        """A Bloom filter of the units, two positions each, broadcast; its bits are gathered 64 at a time."""
-        n = units.count()
-        bits = min(BLOOM_BITS_MOST, 1 << max(12, (16 * n).bit_length()))
+    def _forms(self, units: DataFrame, clean: DataFrame) -> DataFrame:
+        """Garbled forms of the clean units that are units themselves, but for a few: unit, original, n_original, chain, sure."""
+        bits = 1 << max(12, (FILTER_BITS_EACH * max(1, units.count()) - 1).bit_length())
+        slices = max(1, bits // FILTER_BITS_MOST)
+        rows = clean.repartition(4 * self._parts(), F.xxhash64("unit"))
+        out = None
+        for k in range(slices):
+            one = rows.mapInArrow(
+                _form_rows(self.chains, self._filter(units, bits // slices, k, slices), k, slices),
+                "unit string, original string, n_original bigint, chain int, sure boolean",
+            )
+            out = one if out is None else out.unionByName(one)
+        return out
+
+    def _filter(self, units: DataFrame, bits: int, k: int, slices: int):
+        """The k-th of the Bloom filters of the units, two positions each, broadcast; its bits are gathered 64 at a time."""
         h = F.xxhash64("unit")
         both = F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))
         rows = (
-            units.select(F.explode(both).alias("p"))
+            units.where(h.bitwiseXOR(F.shiftrightunsigned(h, 32)).bitwiseAND(F.lit(slices - 1)) == k)
+            .select(F.explode(both).alias("p"))
             .groupBy(F.shiftright("p", 6).alias("at"))
             .agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("w"))
             .toArrow()
@@ -260,15 +279,11 @@ class Mojibake:
         """(word, unit, kind, original, chain): the garbled pieces of every word, each with its most frequent original."""
         if self._hits is not None:
             return self._hits
-        pieces = self._written(self.pieces())
+        pieces = written(self.pieces(), "mojibake-pieces")
         each = pieces.groupBy("unit", "kind").agg(F.sum("n_texts").alias("n_unit"), F.max("source").alias("source"))
-        units = self._written(each.groupBy("unit").agg(F.max("n_unit").alias("n_unit"), F.max("source").alias("source")))
+        units = written(each.groupBy("unit").agg(F.max("n_unit").alias("n_unit"), F.max("source").alias("source")), "mojibake-units")
         known = units.select("unit", "n_unit")
-        clean = units.where("source").select("unit", "n_unit")
-        spread = clean.repartition(4 * self._parts(), "unit")
-        forms = spread.mapInArrow(
-            _form_rows(self.chains, self._filter(known)), "unit string, original string, n_original bigint, chain int, sure boolean"
-        )
+        forms = self._forms(known, units.where("source").select("unit", "n_unit"))
         garbled = (
             forms.join(known, "unit")
             .where(
@@ -280,11 +295,13 @@ class Mojibake:
             .select("unit", F.col("best.original").alias("original"), (-F.col("best.order")).alias("chain"))
         )
         found = pieces.where("target").join(garbled, "unit")
-        self._hits = self._written(found.select("word", "unit", "kind", "original", "chain"))
+        self._hits = written(found.select("word", "unit", "kind", "original", "chain"), "mojibake-hits")
         return self._hits
 
     def words(self) -> DataFrame:
         """(word, kind, unit, original, chain) of every garbled word, with its best evidence: whole word, run, pieces."""
+        if self._words is not None:
+            return self._words
         best = F.min(
             F.struct(
                 F.when(F.col("kind") == WORD, 0).when(F.col("kind") == RUN, 1).otherwise(2).alias("rank"),
@@ -293,7 +310,9 @@ class Mojibake:
         )
         strong = F.sum(F.when(F.col("kind").isin(WORD, RUN), self.evidence.grams).otherwise(1))
         each = self.hits().groupBy("word").agg(best.alias("b"), strong.alias("weight"))
-        return each.where(F.col("weight") >= self.evidence.grams).select("word", "b.kind", "b.unit", "b.original", "b.chain")
+        strong = each.where(F.col("weight") >= self.evidence.grams)
+        self._words = written(strong.select("word", "b.kind", "b.unit", "b.original", "b.chain"), "mojibake-garbled")
+        return self._words
 
     def found(self) -> DataFrame:
         """doc_id of every document with a garbled passage."""
@@ -323,14 +342,13 @@ class Mojibake:
 
         def replaced(text, changes):
             known = {c["word"]: (c["original"], c["chain"]) for c in changes}
-            longest = sorted((w for w, (o, _) in known.items() if o is not None), key=lambda w: (-len(w), w))
-            return "\n".join(restored_line(x, known, longest, every) for x in text.split("\n"))
+            return "\n".join(restored_line(x, known, every) for x in text.split("\n"))
 
         put = F.udf(back, "string", useArrow=True)("word", "kind", "unit", "original", "chain")
         # A text's own distinct garbled words: bounded by the length of one text.
-        changes = self._written(
+        changes = written(
             pairs.select("h", "word", "chain", put.alias("original"))
-            .groupBy("h").agg(F.collect_list(F.struct("word", "original", "chain")).alias("changes"))
+            .groupBy("h").agg(F.collect_list(F.struct("word", "original", "chain")).alias("changes")), "mojibake-changes"
         )
         restored_n = F.size(F.filter("changes", lambda c: c["original"].isNotNull()))
         # Texts without garbled words are left behind before any text moves.
@@ -341,8 +359,11 @@ class Mojibake:
         )
 
 
-def restored_line(line: str, known: dict, longest: list[str], every: list[Chain]) -> str:
-    """One line with originals put in; known: original and chain of each garbled word of the text."""
+def restored_line(line: str, known: dict, every: list[Chain]) -> str:
+    """One line with originals put in; known: original and chain of each garbled word of the text.
+
+    Only whole words are replaced, each by its own original, in one pass.
+    """
     if line.isascii():
         return line
     words = words_of(line.encode("utf-8", "replace"))
@@ -353,7 +374,6 @@ def restored_line(line: str, known: dict, longest: list[str], every: list[Chain]
             whole = restore(line, every[c])
             if whole is not None and all(o in whole for o in originals):
                 return whole
-    for w in longest:
-        if w in line:
-            line = line.replace(w, known[w][0])
-    return line
+    if not own:
+        return line
+    return _TOKEN.sub(lambda m: known.get(m[0], (None,))[0] or m[0], line)

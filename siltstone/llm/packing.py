@@ -155,10 +155,10 @@ def pack(items: DataFrame, capacities: Sequence[int], block_items: int = BLOCK_I
     )
 
 
-def fill_report(packed: DataFrame) -> DataFrame:
-    """Containers, tokens and the share of unused space by capacity."""
-    each = packed.groupBy("container_id", "capacity").agg(F.sum("n_tokens").alias("n"))
-    return each.groupBy("capacity").agg(
+def fill_report(packed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Containers, tokens and the share of unused space by capacity, and by further columns."""
+    each = packed.groupBy(*by, "container_id", "capacity").agg(F.sum("n_tokens").alias("n"))
+    return each.groupBy(*by, "capacity").agg(
         F.count(F.lit(1)).alias("n_containers"),
         F.sum("n").alias("n_tokens"),
         (1 - F.sum("n") / F.sum("capacity")).alias("unused_share"),

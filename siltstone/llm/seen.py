@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import bloom_slots
+from siltstone.functions.joins import join_small
 from siltstone.operators.runs import bloom_valid
+from siltstone.sources.published import Folder
+from siltstone.sources.tables import scratch, written
 
 KEY = ["db_id", "key_entry"]
 
@@ -91,14 +95,46 @@ class Chain:
             last.add(h1[at : at + room], h2[at : at + room])
             at += room
 
+    def load(self, rows: list[dict]) -> None:
+        """Take up saved layers, in order; the first one replaces what a new chain begins with."""
+        for r in rows:
+            if not r["layer"]:
+                self.layers = []
+            layer = Layer(r["capacity"], r["error"])
+            layer.bits, layer.count = np.frombuffer(r["bits"], np.uint8).copy(), r["n_keys"]
+            self.layers.append(layer)
+
     def bound(self) -> float:
         """Bound of the chance that a new key is called seen: 1 - product over the layers of (1 - error)."""
         return 1 - math.prod(1 - x.error for x in self.layers)
 
 
-def _answers(options: ChainOptions):
-    names = ["db_id", "key_entry", "first_no", "n_arrivals", "maybe", "bound", "n_layers"]
-    types = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.float64(), pa.int32()]
+#: Columns of a chain's saved layers.
+_STATE = "shard int, layer int, capacity bigint, error double, n_keys bigint, bits binary"
+_ANSWER = "db_id bigint, key_entry binary, first_no bigint, n_arrivals bigint, maybe boolean, bound double, n_layers int"
+_LAYER, _HISTORY, _ARRIVAL = 0, 1, 2
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
+
+
+def _advance(options: ChainOptions):
+    """Rows of a shard in the order saved layers, history, arrivals to answers and layers; only one chain is held."""
+    to_arrow = {"int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "boolean": pa.bool_(),
+                "string": pa.string()}
+    schema = pa.schema([(n, to_arrow[k]) for n, k in (x.split() for x in f"kind string, {_STATE}, {_ANSWER}".split(", "))])
+
+    def rows(n: int, **columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [columns.get(f.name) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema
+        )
+
+    def saved(shard: int, chain: Chain) -> Iterator[pa.RecordBatch]:
+        for i, x in enumerate(chain.layers):
+            own = {"kind": "layer", "shard": shard, "layer": i, "capacity": x.capacity, "error": x.error, "n_keys": x.count,
+                   "bits": x.bits.tobytes()}
+            yield rows(1, **{k: pa.array([v], schema.field(k).type) for k, v in own.items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, chain = None, Chain(options)
@@ -109,101 +145,148 @@ def _answers(options: ChainOptions):
                 if lo == hi:
                     continue
                 if shards[lo] != shard:
-                    shard, chain = shards[lo], Chain(options)
+                    if shard is not None:
+                        yield from saved(shard, chain)
+                    shard, chain = int(shards[lo]), Chain(options)
                 own = b.slice(lo, hi - lo)
-                h1 = own.column("_h1").to_numpy().view(np.uint64)
+                m, n = (int(np.searchsorted(own.column("_side").to_numpy(), s)) for s in (_HISTORY, _ARRIVAL))
+                if m:
+                    chain.load(own.slice(0, m).select(_names(_STATE)[1:]).to_pylist())
+                h1 = own.column("_h1").slice(m).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
                 # An even step could meet few positions.
-                h2 = own.column("_h2").to_numpy().view(np.uint64) | np.uint64(1)
-                n = int(np.searchsorted(own.column("_side").to_numpy(), 1))
-                old = ~chain.has(h1[:n], h2[:n])
-                chain.add(h1[:n][old], h2[:n][old])
+                h2 = own.column("_h2").slice(m).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) | np.uint64(1)
+                k = n - m
+                old = ~chain.has(h1[:k], h2[:k])
+                chain.add(h1[:k][old], h2[:k][old])
                 if n < len(own):
-                    a1, a2 = h1[n:], h2[n:]
-                    maybe = chain.has(a1, a2)
-                    chain.add(a1[~maybe], a2[~maybe])
-                    m = len(maybe)
-                    tail = own.slice(n)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            *(tail.column(c).cast(t) for c, t in zip(names[:4], types[:4], strict=True)),
-                            pa.array(maybe, types[4]),
-                            pa.array(np.full(m, chain.bound()), types[5]),
-                            pa.array(np.full(m, len(chain.layers)), types[6]),
-                        ],
-                        names,
+                    maybe = chain.has(h1[k:], h2[k:])
+                    chain.add(h1[k:][~maybe], h2[k:][~maybe])
+                    tail, size = own.slice(n), len(maybe)
+                    yield rows(
+                        size,
+                        kind=pa.array(["answer"] * size, pa.string()),
+                        **{c: tail.column(c).cast(schema.field(c).type) for c in _names(_ANSWER)[:4]},
+                        maybe=pa.array(maybe),
+                        bound=pa.array(np.full(size, chain.bound())),
+                        n_layers=pa.array(np.full(size, len(chain.layers)), pa.int32()),
                     )
+        if shard is not None:
+            yield from saved(shard, chain)
 
     return run
 
 
-def chain_answers(
-    history: DataFrame, arrivals: DataFrame, options: ChainOptions = ChainOptions(), keys_per_shard: int = 1 << 22
-) -> DataFrame:
-    """The chain's answer for the first arrival of every key.
-
-    db_id, key_entry, first_no, n_arrivals (of the key), maybe (called seen),
-    bound (of the share of wrong answers there), n_layers.
+class SeenKeys:
+    """The keys of all stores ever seen, as saved scalable Bloom chains in a shared folder.
 
-    Keys are hashed into shards, each with a chain of its own, so a store that
-    holds a third of all keys is spread like any other. Repeats of one key are
-    reduced first, with a map-side partial: a key that was added is called
-    seen for certain, so only its first arrival asks anything. A shard's keys
-    stream through in Arrow batches, history first, then arrivals in order;
-    only the chain's bits are held, about 10 to 20 bits a key, and the number
-    of shards follows the number of rows so that a chain stays small.
-
-    Null keys are no keys and are left out; the empty key is one. Without
-    history every first arrival is new but for false answers.
+    Keys are hashed into ``shards``, each with a chain of its own, so a store
+    that holds a third of all keys is spread like any other. ``advance`` reads
+    the saved layers (10 to 20 bits a key), the new history and the new
+    arrivals, and nothing of what was added before; it writes answers and grown
+    layers and publishes both as a new version by one rename, so a run that is
+    lost and repeated adds nothing twice. A task holds one chain at a time; 256
+    shards keep it under 100 MB up to 10^10 keys. The number of shards and
+    the options belong to the saved state and never change.
     """
-    spark = history.sparkSession
-    known = history.where(F.col("key_entry").isNotNull()).select(*KEY)
-    n_shards = max(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(known.count() / keys_per_shard)
-    )
-    hashed = lambda df: df.withColumn("_h1", F.xxhash64(*KEY)).withColumn("_h2", F.xxhash64("key_entry", "db_id", F.lit(7))).withColumn("_h3", F.hash(*KEY))
-    old = hashed(known.distinct()).select(
-        F.lit(None).cast("bigint").alias("db_id"), F.lit(None).cast("binary").alias("key_entry"),
-        F.lit(None).cast("bigint").alias("first_no"), F.lit(None).cast("bigint").alias("n_arrivals"), "_h1", "_h2", "_h3", F.lit(0).alias("_side"),
-    )
-    new = hashed(first_arrivals(arrivals)).select(*KEY, "first_no", "n_arrivals", "_h1", "_h2", "_h3", F.lit(1).alias("_side"))
-    # A hash of its own: within a shard the positions of h1 and h2 stay evenly spread.
-    rows = old.unionByName(new).withColumn("_shard", F.pmod("_h3", F.lit(n_shards)))
-    return (
-        rows.repartition(n_shards, "_shard")
-        .sortWithinPartitions("_shard", "_side", "first_no")
-        .mapInArrow(
-            _answers(options),
-            "db_id bigint, key_entry binary, first_no bigint, n_arrivals bigint, maybe boolean, bound double, n_layers int",
+
+    def __init__(self, spark: SparkSession, path: str, options: ChainOptions = ChainOptions(), shards: int = 256):
+        self.spark, self._folder = spark, Folder(spark, path)
+        state = self._folder.state()
+        self.options = ChainOptions(**state["options"]) if state else options
+        self.shards = state.get("shards", shards)
+
+    def layers(self) -> DataFrame:
+        """The saved layers: shard, layer, capacity, error, n_keys, bits; empty before the first run."""
+        state = self._folder.state()
+        if not state:
+            return self.spark.createDataFrame([], _STATE)
+        return self.spark.read.schema(_STATE).parquet(f"{self._folder.path}/{state['folder']}/kind=layer")
+
+    def advance(self, history: DataFrame | None = None, arrivals: DataFrame | None = None) -> DataFrame:
+        """Add keys of the history, then ask and add arriving keys; the answers for the first arrival of every key.
+
+        db_id, key_entry, first_no, n_arrivals (of the key), maybe (called
+        seen), bound (of the share of wrong answers there), n_layers.
+
+        Repeats of one key are reduced first, with a map-side partial: a key
+        that was added is called seen for certain, so only its first arrival
+        asks anything. Rows with a null store or key are left out; the empty
+        key is one. Without history every first arrival is new but for false answers.
+        """
+        own = f"step-{uuid.uuid4().hex}"
+        version = self._folder.version()
+        empty = self.spark.createDataFrame([], "db_id bigint, key_entry binary, in_no bigint")
+        # Three hashes of their own: within a shard the positions of h1 and h2 stay evenly spread.
+        shard = F.pmod(F.hash(*KEY), F.lit(self.shards)).alias("_shard")
+        h = [F.xxhash64(*KEY).alias("_h1"), F.xxhash64("key_entry", "db_id", F.lit(7)).alias("_h2")]
+        old = _keyed(empty if history is None else history).select(shard, *h).distinct()
+        new = first_arrivals(empty if arrivals is None else arrivals).select(shard, *h, *_names(_ANSWER)[:4])
+        saved = self.layers().withColumnRenamed("shard", "_shard")
+        rows = (
+            saved.withColumn("_side", F.lit(_LAYER))
+            .unionByName(old.withColumn("_side", F.lit(_HISTORY)), allowMissingColumns=True)
+            .unionByName(new.withColumn("_side", F.lit(_ARRIVAL)), allowMissingColumns=True)
         )
-    )
+        parts = min(self.shards, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism))
+        (
+            rows.repartitionById(parts, F.floor(F.col("_shard") * parts / self.shards).cast("int"))
+            .sortWithinPartitions("_shard", "_side", "layer", "first_no")
+            .mapInArrow(_advance(self.options), f"kind string, {_STATE}, {_ANSWER}")
+            .write.partitionBy("kind").parquet(f"{self._folder.path}/{own}")
+        )
+        self._folder.publish(version + 1, {"folder": own, "shards": self.shards, "options": asdict(self.options)})
+        return self.answers()
+
+    def answers(self) -> DataFrame:
+        """The answers of the last run."""
+        state = self._folder.state()
+        everything = self.spark.read.schema(f"kind string, {_ANSWER}").parquet(f"{self._folder.path}/{state['folder']}")
+        return everything.where("kind = 'answer'").drop("kind")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return rows.select(*KEY).where(F.col("key_entry").isNotNull() & F.col("db_id").isNotNull())
 
 
 def first_arrivals(arrivals: DataFrame) -> DataFrame:
     """The lowest in_no of every store and key that arrives, and how often it arrives (n_arrivals)."""
-    keys = arrivals.where(F.col("key_entry").isNotNull())
+    keys = arrivals.where(F.col("key_entry").isNotNull() & F.col("db_id").isNotNull())
     return keys.groupBy(*KEY).agg(F.min("in_no").alias("first_no"), F.count(F.lit(1)).alias("n_arrivals"))
 
 
-def checked_answers(history: DataFrame, arrivals: DataFrame, options: ChainOptions = ChainOptions()) -> DataFrame:
-    """The chain's answers with ``seen``: positive answers checked against the history itself.
+def in_history(history: DataFrame, asked: DataFrame) -> DataFrame:
+    """Those of the asked keys (a written table) that really occur in the history, each once.
 
-    Negative answers are right by construction and skip the check.
+    The history is reduced by the keys asked before anything moves: few of
+    them are broadcast, beyond that both sides meet in a sort-merge join.
     """
-    said = chain_answers(history, arrivals, options)
-    old = history.where(F.col("key_entry").isNotNull()).select(*KEY).distinct().withColumn("_old", F.lit(True))
-    return said.join(old, KEY, "left").withColumn("seen", F.coalesce("_old", F.lit(False)) & F.col("maybe")).drop("_old")
+    return join_small(_keyed(history), asked.select(*KEY), KEY, "left_semi").distinct()
 
 
-def seen_before(history: DataFrame, arrivals: DataFrame, options: ChainOptions = ChainOptions()) -> DataFrame:
-    """in_no of every arrival whose key occurs in the store's history or in an earlier arrival."""
-    per_key = checked_answers(history, arrivals, options).select(*KEY, "first_no", "seen")
-    return (
-        arrivals.select("in_no", *KEY)
-        .where(F.col("key_entry").isNotNull())
-        .join(per_key, KEY)
-        .where(F.col("seen") | (F.col("in_no") > F.col("first_no")))
-        .select("in_no")
-    )
+def chain_answers(
+    history: DataFrame, arrivals: DataFrame, options: ChainOptions = ChainOptions(), path: str | None = None
+) -> DataFrame:
+    """The answers of a chain that holds nothing but this history (see SeenKeys); its state goes to ``path`` or scratch."""
+    spark = history.sparkSession
+    return SeenKeys(spark, path or scratch(spark, "seen-keys"), options).advance(history, arrivals)
+
+
+def seen_before(
+    history: DataFrame, arrivals: DataFrame, options: ChainOptions = ChainOptions(), path: str | None = None
+) -> DataFrame:
+    """in_no of every arrival whose key occurs in the store's history or in an earlier arrival.
+
+    The chain answers for every first arrival. Negative answers are right by
+    construction and are not checked; only keys called seen meet the history.
+    All arrivals but first ones of new keys are cases. Rows without store, key or in_no are none.
+    """
+    answers = chain_answers(history, arrivals, options, path)
+    positive = answers.where("maybe").select(*KEY, "first_no")
+    wrong = positive.join(in_history(history, positive), KEY, "left_anti")
+    new = answers.where("NOT maybe").select(*KEY, "first_no").unionByName(wrong).withColumnRenamed("first_no", "in_no")
+    asked = arrivals.select("in_no", *KEY).dropna()
+    # The number is part of the key, so an often repeated key is spread.
+    return asked.join(new, ["in_no", *KEY], "left_anti").select("in_no")
 
 
 def section_pairs(sections: DataFrame) -> DataFrame:
@@ -239,35 +322,50 @@ def section_answers(sections: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
-def wrong_answers(
-    history: DataFrame, arrivals: DataFrame, sections: DataFrame, options: ChainOptions = ChainOptions()
-) -> DataFrame:
-    """Share of wrong answers by filter (chain, table_sections) over all arriving records with a key.
-
-    n_asked, n_new (neither in the history nor in an earlier arrival),
-    n_wrong_seen (new but called seen), n_wrong_new (not new but called new),
-    wrong_share (of all asked), bound (promised for the chain).
-
-    Answers are taken per key and weighted by its arrivals: a later arrival is
-    never new; the chain has the key by then and says so, while the stored
-    sections know nothing of arrivals and say of each what they said of the first.
-    """
-    truth = checked_answers(history, arrivals, options)
-    old = history.where(F.col("key_entry").isNotNull()).select(*KEY).distinct().withColumn("_old", F.lit(True))
-    keys = first_arrivals(arrivals).join(old, KEY, "left").withColumn("seen", F.coalesce("_old", F.lit(False))).drop("_old")
-    by_sections = section_answers(sections, keys).withColumn("bound", F.lit(None).cast("double"))
-    denied = F.when(F.col("maybe"), 0).otherwise(F.col("n_arrivals") - 1)
-    both = truth.select(F.lit("chain").alias("filter"), "n_arrivals", F.lit(0).alias("n_denied"), "maybe", "seen", "bound").unionByName(
-        by_sections.select(F.lit("table_sections").alias("filter"), "n_arrivals", denied.alias("n_denied"), "maybe", "seen", "bound")
-    )
+def _report(name: str, asked: DataFrame, later_denied: Column) -> DataFrame:
+    """Shares of wrong answers from maybe, seen (the truth), n_arrivals and bound of every first arrival."""
     count = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    # Of first arrivals; n_denied are the later ones that are called new.
-    wrong_seen, wrong_new = count(F.col("maybe") & ~F.col("seen")), count(~F.col("maybe") & F.col("seen")) + F.sum("n_denied")
-    return both.groupBy("filter").agg(
+    wrong_seen, denied = count(F.col("maybe") & ~F.col("seen")), count(~F.col("maybe") & F.col("seen"))
+    wrong_new = denied + F.sum(later_denied)
+    return asked.groupBy(F.lit(name).alias("filter")).agg(
         F.sum("n_arrivals").alias("n_asked"),
+        F.count(F.lit(1)).alias("n_keys"),
         count(~F.col("seen")).alias("n_new"),
         wrong_seen.alias("n_wrong_seen"),
         wrong_new.alias("n_wrong_new"),
         ((wrong_seen + wrong_new) / F.sum("n_arrivals")).alias("wrong_share"),
+        ((wrong_seen + denied) / F.count(F.lit(1))).alias("wrong_share_first"),
         F.max("bound").alias("bound"),
     )
+
+
+def _with_truth(history: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked keys (a written table) with ``seen``, checked against the history whatever a filter says."""
+    known = in_history(history, asked).withColumn("_old", F.lit(True))
+    return asked.join(known, KEY, "left").withColumn("seen", F.coalesce("_old", F.lit(False))).drop("_old")
+
+
+def section_report(history: DataFrame, arrivals: DataFrame, sections: DataFrame) -> DataFrame:
+    """The report of the stored table sections (see wrong_answers)."""
+    truth = _with_truth(history, written(first_arrivals(arrivals), "first-arrivals"))
+    said = section_answers(sections, truth).withColumn("bound", F.lit(None).cast("double"))
+    return _report("table_sections", said, F.when(F.col("maybe"), 0).otherwise(F.col("n_arrivals") - 1))
+
+
+def wrong_answers(
+    history: DataFrame, arrivals: DataFrame, sections: DataFrame, options: ChainOptions = ChainOptions()
+) -> DataFrame:
+    """Share of wrong answers by filter (chain, table_sections) over all arriving records with a key.
+
+    n_asked (records), n_keys (first arrivals), n_new (first arrivals that are
+    not in the history), n_wrong_seen (new but called seen), n_wrong_new (not
+    new but called new), wrong_share (of all records), wrong_share_first (of
+    first arrivals), bound (promised for the chain).
+
+    The truth is taken from the history for every key, not only for those called seen.
+    A later arrival is never new; the chain has the key by then and says so, while the stored
+    sections know nothing of arrivals and say of each what they said of the first.
+    """
+    answers = chain_answers(history, arrivals, options)
+    chain = _report("chain", _with_truth(history, answers), F.lit(0))
+    return chain.unionByName(section_report(history, arrivals, sections))

@@ -4,8 +4,9 @@ import random
 
 import pytest
 
+from siltstone.llm import mojibake
 from siltstone.llm.garble import LOST, Chain, chains, garble, garbled_forms, restore
-from siltstone.llm.mojibake import Mojibake, pieces_of, words_of
+from siltstone.llm.mojibake import Mojibake, pieces_of, restored_line, words_of
 
 CLEAN = {
     "de": "Die Brücke gehört jetzt zur Bäckerei, das müsste für Größe früher geprüft werden",
@@ -113,3 +114,65 @@ def test_frequent_words_that_are_valid_utf8_stay(spark):
     assert garble("業", Chain((("utf-8", "cp866"),), False)) == "цен"
     rows = [(i, f"рост цен {i}") for i in range(20)] + [(50 + i, f"業 {i} 業務") for i in range(20)]
     assert Mojibake(spark.createDataFrame(rows, "doc_id bigint, text string")).found().count() == 0
+
+
+def test_only_whole_garbled_words_are_replaced():
+    known = {"МН": ("но", 0), "fÃ¼r": ("für", 1)}
+    line = "МН прикмМНта обычная и ещё слова, (fÃ¼r) xfÃ¼r fÃ¼rMН МН"
+    assert restored_line(line, known, chains()) == "но прикмМНта обычная и ещё слова, (für) xfÃ¼r fÃ¼rMН но"
+    # What was put in is not looked at again.
+    assert restored_line("ab é á é xy zé ké qé", {"é": ("á", 0), "á": ("ó", 0)}, chains()) == "ab á ó á xy zé ké qé"
+
+
+def test_small_filters_in_several_passes_find_the_same(found, monkeypatch):
+    want = {tuple(r) for r in found.words().select("word", "original").collect()}
+    monkeypatch.setattr(mojibake, "FILTER_BITS_MOST", 1 << 11)
+    again = Mojibake(found.spark.createDataFrame([], "doc_id bigint, text string"))
+    again.texts = found.texts
+    assert {tuple(r) for r in again.words().select("word", "original").collect()} == want and want
+
+
+CLASSES = {
+    "UTF-8 read once in one byte": [Chain((("utf-8", e),), False) for e in ("latin-1", "cp1252", "cp1251", "mac-roman", "cp850", "iso8859-2")],
+    "UTF-8 read twice or more": [Chain((("utf-8", a), ("utf-8", b)), False) for a, b in (("latin-1", "latin-1"), ("cp1252", "cp1252"))]
+    + [Chain((("utf-8", "latin-1"),) * 3, False)],
+    "one byte read in another": [Chain(((a, b),), False) for a, b in (("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp1250", "cp1252"), ("cp1252", "cp437"))],
+    "several bytes read in one": [Chain(((a, "latin-1"),), False) for a in ("gbk", "cp932", "big5")],
+    "controls dropped": [Chain((("utf-8", "latin-1"),), False, dropped=True)],
+}
+
+
+@pytest.fixture(scope="module")
+def measured(spark):
+    """Per class the words misread, of them restored, words changed, of them rightly."""
+    rnd, docs, truth = random.Random(8), corpus(), {}
+    for name, kinds in CLASSES.items():
+        for c in kinds:
+            for lang, text in CLEAN.items():
+                garbled = garble(text, c)
+                if "?" in garbled or LOST in garbled or garbled == text:
+                    continue
+                clean = CLEAN[rnd.choice(list(CLEAN))]
+                no = 10_000 + len(truth)
+                docs[no] = f"{clean}\n{garbled}\n{clean} {no}"
+                truth[no] = (name, docs[no], f"{clean}\n{text}\n{clean} {no}")
+    rows = Mojibake(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")).restored().collect()
+    got = {r["doc_id"]: r["restored"] for r in rows}
+    out = {name: [0, 0, 0, 0] for name in CLASSES}
+    for no, (name, bad, right) in truth.items():
+        for b, r, g in zip(bad.split(), right.split(), got.get(no, bad).split(), strict=False):
+            out[name][0] += b != r
+            out[name][1] += b != r and g == r
+            out[name][2] += g != b
+            out[name][3] += g != b and g == r
+    return out
+
+
+@pytest.mark.parametrize("name", list(CLASSES))
+def test_restored_share_and_precision(measured, name):
+    misread, restored, changed, rightly = measured[name]
+    print(f"{name}: {misread} misread, {restored} restored, {changed} changed, {rightly} rightly")
+    assert misread and rightly >= 0.99 * changed
+    # What dropped or ASCII bytes took away can't be turned back word by word.
+    least = {"controls dropped": 0.5, "several bytes read in one": 0.7}
+    assert restored >= least.get(name, 0.95) * misread

@@ -78,3 +78,20 @@ def test_queries(spark, data):
         each[r["capacity"]].append(r)
     for c, rows in each.items():
         assert check(rows, items, [c]) > 0.75
+    fill = {(r["packing"], r["pack_kind"]): r for r in QUERIES["p7_fill"](spark, data).collect()}
+    total = sum(items.values())
+    assert sum(r["n_tokens"] for (p, _), r in fill.items() if p == "joint") == total
+    alone = {k: r for (p, k), r in fill.items() if p == "alone"}
+    assert len(alone) == 3 and all(r["n_tokens"] == total for r in alone.values())
+    assert {r["capacity"]: r["n_containers"] for r in alone.values()} == {c: len({r["container_id"] for r in rows}) for c, rows in each.items()}
+
+
+@pytest.mark.parametrize("name", ["p7_pack", "p7_each", "p7_fill"])
+def test_texts_are_tokenized_once(spark, data, monkeypatch, name):
+    from siltstone.llm import queries
+
+    counted = []
+    count = queries.count_tokens
+    monkeypatch.setattr(queries, "count_tokens", lambda docs: counted.append(1) or count(docs))
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert len(counted) == 1 and "documents.parquet" not in plan

@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from compare import connect, oracle_rows, rows_of
 
+from siltstone.llm import seen
 from siltstone.llm.queries import ORACLE, QUERIES
-from siltstone.llm.seen import Chain, ChainOptions, chain_answers, seen_before, wrong_answers
+from siltstone.llm.seen import Chain, ChainOptions, SeenKeys, seen_before, wrong_answers
 from siltstone.sources.tables import SCHEMAS
 
 
@@ -41,12 +42,12 @@ def test_against_a_set(spark, seed):
     old = [(rnd.choice([1, 1, 2, None]), key()) for _ in range(500)]
     new = [(i, rnd.choice([1, 2, 3]), key()) for i in range(600)]
     rnd.shuffle(new)
-    seen = {(d, bytes(k)) for d, k in old if k is not None and d is not None}
+    known = {(d, bytes(k)) for d, k in old if k is not None and d is not None}
     want = set()
     for i, d, k in sorted(new, key=lambda r: r[0]):
         if k is not None:
-            want |= {i} if (d, bytes(k)) in seen else set()
-            seen.add((d, bytes(k)))
+            want |= {i} if (d, bytes(k)) in known else set()
+            known.add((d, bytes(k)))
     h, a = tables(spark, old, new)
     # A loose chain that answers wrongly often: the exact check still gives exact answers.
     for options in (ChainOptions(), ChainOptions(first_capacity=8, error=0.9)):
@@ -82,12 +83,53 @@ def test_every_arrival_is_asked(spark):
     assert (t["n_asked"], t["n_new"], t["n_wrong_seen"], t["n_wrong_new"], t["wrong_share"]) == (12, 1, 0, 11, 11 / 12)
 
 
-def test_every_shard_reports_a_bound(spark):
+def test_every_shard_reports_a_bound(spark, tmp_path):
     h, a = tables(spark, [(1, bytearray(b"a%d" % i)) for i in range(3000)], [(i, 1, bytearray(b"b%d" % i)) for i in range(100)])
-    rows = chain_answers(h, a, ChainOptions(first_capacity=16)).collect()
+    rows = SeenKeys(spark, f"file://{tmp_path}/c", ChainOptions(first_capacity=16), shards=8).advance(h, a).collect()
     assert len(rows) == 100 and all(0 < r["bound"] < 0.01 and r["n_layers"] > 1 for r in rows)
 
 
+def test_saved_chains_grow_from_new_history_alone(spark, tmp_path):
+    """Each run sees only what is new, and the answers are those of all keys so far."""
+    path, options = f"file://{tmp_path}/c", ChainOptions(first_capacity=16, error=1e-6)
+    old = lambda lo, hi: tables(spark, [(1, bytearray(b"k%d" % i)) for i in range(lo, hi)], [])[0]
+    ask = lambda *ks: tables(spark, [], [(i, 1, bytearray(b"k%d" % k)) for i, k in enumerate(ks)])[1]
+    one = SeenKeys(spark, path, options, shards=4).advance(old(0, 400), ask(3, 900))
+    assert sorted((bytes(r["key_entry"]), r["maybe"]) for r in one.collect()) == [(b"k3", True), (b"k900", False)]
+    # Another process, later: new history only; 900 arrived before, 3 is of the first history.
+    again = SeenKeys(spark, path)
+    assert (again.shards, again.options) == (4, options)
+    two = again.advance(old(400, 700), ask(3, 450, 900, 901))
+    assert {bytes(r["key_entry"]): r["maybe"] for r in two.collect()} == {b"k3": True, b"k450": True, b"k900": True, b"k901": False}
+    layers = again.layers().collect()
+    assert sum(r["n_keys"] for r in layers) == 702 and {r["shard"] for r in layers} == set(range(4))
+    assert max(r["layer"] for r in layers) > 2
+
+
+def test_run_lost_before_publishing_adds_nothing(spark, tmp_path, monkeypatch):
+    h, a = tables(spark, [(1, bytearray(b"a"))], [(1, 1, bytearray(b"b"))])
+    chain = SeenKeys(spark, f"file://{tmp_path}/c", shards=2)
+
+    def lost(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(chain._folder, "publish", lost)
+        with pytest.raises(KeyboardInterrupt):
+            chain.advance(h, a)
+    assert [r["maybe"] for r in SeenKeys(spark, f"file://{tmp_path}/c", shards=2).advance(h, a).collect()] == [False]
+
+
+def test_only_keys_called_seen_are_checked(spark, monkeypatch):
+    """The history meets the positive answers, here the two true ones, and no key that the chain denies."""
+    asked = []
+    check = seen.in_history
+    monkeypatch.setattr(seen, "in_history", lambda h, keys: asked.append(keys) or check(h, keys))
+    h, a = tables(spark, [(1, bytearray(b"a%d" % i)) for i in range(50)], [(i, 1, bytearray(b"a%d" % k)) for i, k in enumerate((3, 4, 70, 71, 72))])
+    assert {r["in_no"] for r in seen_before(h, a, ChainOptions(error=1e-9)).collect()} == {0, 1}
+    assert [sorted(bytes(r["key_entry"]) for r in k.collect()) for k in asked] == [[b"a3", b"a4"]]
+
+
 @pytest.mark.parametrize("name", list(ORACLE))
 def test_query_equals_sql(spark, data, name):
     assert rows_of(QUERIES[name](spark, data)) == oracle_rows(connect(data), ORACLE[name])
