@@ -83,23 +83,75 @@ def add_violations(adds: DataFrame, live: DataFrame, max_levels: int = 7) -> Dat
     """Tables that may not be added to a catalog: db_id, table_id, rule (the first that is broken).
 
     reserved_id (null, 0 or less), no_such_level, bad_range, known_id (live in
-    the store at any level), overlap (below level 0, with a live table of the
-    level, ends included; tables are compared within store and level).
+    the store at any level, or added more than once), overlap (below level 0,
+    with a live or another added table of the level, ends included).
+
+    Overlaps come from one sort of all ranges of a level: a range meets an
+    earlier one if it begins at or before the greatest end so far, and a later
+    one if it ends at or after the least beginning to come; nothing is paired.
     """
+    cols = ["db_id", "table_id", "level", "smallest_key", "largest_key"]
     known = live.select("db_id", "table_id").distinct().withColumn("_known", F.lit(True))
     own = F.when(F.col("table_id").isNull() | (F.col("table_id") <= 0), "reserved_id").when(
         F.col("level").isNull() | (F.col("level") < 0) | (F.col("level") >= max_levels), "no_such_level"
     ).when(F.col("smallest_key") > F.col("largest_key"), "bad_range")
-    ruled = adds.join(known, ["db_id", "table_id"], "left").withColumn(
-        "rule", F.coalesce(own, F.when(F.col("_known"), "known_id"))
+    times = F.count(F.lit(1)).over(Window.partitionBy("db_id", "table_id"))
+    ruled = adds.select(*cols).distinct().withColumn("_times", times).join(known, ["db_id", "table_id"], "left").withColumn(
+        "rule", F.coalesce(own, F.when(F.coalesce("_known", F.lit(False)) | (F.col("_times") > 1), "known_id"))
+    )
+    clear = ruled.where(F.col("rule").isNull()).select(*cols, F.lit(True).alias("_new"))
+    both = clear.unionByName(live.select(*cols).distinct().withColumn("_new", F.lit(False))).where(
+        (F.col("level") > 0) & F.col("smallest_key").isNotNull() & F.col("largest_key").isNotNull()
+    )
+    order = Window.partitionBy("db_id", "level").orderBy("smallest_key", "largest_key", "table_id", "_new")
+    # Ranges that begin later, of an added table with an older one: the older begins at or before the added one's end.
+    meets = both.withColumns(
+        {
+            "_end": F.max("largest_key").over(order.rowsBetween(Window.unboundedPreceding, -1)),
+            "_begin": F.min("smallest_key").over(order.rowsBetween(1, Window.unboundedFollowing)),
+        }
+    ).where(F.col("_new") & ((F.col("smallest_key") <= F.col("_end")) | (F.col("largest_key") >= F.col("_begin"))))
+    overlap = meets.select("db_id", "table_id", F.lit("overlap").alias("rule"))
+    return ruled.where(F.col("rule").isNotNull()).select("db_id", "table_id", "rule").unionByName(overlap).distinct()
+
+
+def remove_violations(removes: DataFrame, live: DataFrame) -> DataFrame:
+    """Removals (db_id, table_id, level; a null level means any) that have no effect: with ``rule``.
+
+    reserved_id (null, 0 or less), not_found (no such table in the store),
+    wrong_level (live, but at another level), repeated (removed more than once).
+    """
+    at = live.select("db_id", "table_id", F.col("level").alias("_at")).distinct()
+    # A table is live at one level at most; where a catalog breaks that, any of them counts.
+    levels = at.groupBy("db_id", "table_id").agg(F.collect_set("_at").alias("_levels"))
+    asked = removes.select("db_id", "table_id", "level").withColumn("_times", F.count(F.lit(1)).over(Window.partitionBy("db_id", "table_id")))
+    rule = (
+        F.when(F.col("table_id").isNull() | (F.col("table_id") <= 0), "reserved_id")
+        .when(F.col("_levels").isNull(), "not_found")
+        .when(F.col("level").isNotNull() & ~F.array_contains("_levels", F.col("level")), "wrong_level")
+        .when(F.col("_times") > 1, "repeated")
+    )
+    return (
+        asked.join(levels, ["db_id", "table_id"], "left")
+        .select("db_id", "table_id", "level", rule.alias("rule"))
+        .where(F.col("rule").isNotNull())
+        .distinct()
     )
-    there = live.where("level > 0").select(
-        "db_id", "level", F.col("smallest_key").alias("_lo"), F.col("largest_key").alias("_hi")
+
+
+def index_violations(runs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Blocks whose stored index entry (db_id, table_id, block_no, first_key, last_key) disagrees with the records.
+
+    missing (records but no entry), empty (an entry without records), bad_range (first above last), wrong_keys.
+    """
+    real = runs.groupBy(*TABLE, "block_no").agg(F.min("key_entry").alias("_first"), F.max("key_entry").alias("_last"))
+    both = stored.select(*TABLE, "block_no", "first_key", "last_key", F.lit(True).alias("_said")).join(
+        real.withColumn("_real", F.lit(True)), [*TABLE, "block_no"], "full"
     )
-    clear = ruled.where("rule IS NULL")
-    overlap = (
-        clear.join(there, ["db_id", "level"])
-        .where((F.col("smallest_key") <= F.col("_hi")) & (F.col("largest_key") >= F.col("_lo")))
-        .select("db_id", "table_id", F.lit("overlap").alias("rule"))
+    rule = (
+        F.when(F.col("_said").isNull(), "missing")
+        .when(F.col("_real").isNull(), "empty")
+        .when(F.col("first_key") > F.col("last_key"), "bad_range")
+        .when(~(F.col("first_key").eqNullSafe(F.col("_first")) & F.col("last_key").eqNullSafe(F.col("_last"))), "wrong_keys")
     )
-    return ruled.where("rule IS NOT NULL").select("db_id", "table_id", "rule").unionByName(overlap).distinct()
+    return both.select(*TABLE, "block_no", rule.alias("rule")).where(F.col("rule").isNotNull())

@@ -7,9 +7,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.expressions import record_bytes
 from siltstone.functions.joins import join_small
-from siltstone.operators.catalog import level_stats, tables
+from siltstone.operators.catalog import counters, level_stats, replay, tables
 from siltstone.operators.resolve import latest_view
+from siltstone.operators.runs import fold_sorted
+from siltstone.sources.tables import drop, written
 
 MIB = 1 << 20
 
@@ -106,19 +109,15 @@ def merge(runs: DataFrame, bottommost: bool = False) -> DataFrame:
     return won.where(F.col("type") == 0) if bottommost else won
 
 
-def compact(runs: DataFrame, catalog: DataFrame, options: CompactionOptions) -> DataFrame:
-    """Run the planned compaction of every store: db_id, key, seq_num, value, type, target_level of all outputs.
-
-    Tombstones go where no table of the store lies deeper than the target.
-    Records of tables that are not inputs are not read past the join with the plan.
-    """
-    inputs = plan(catalog, options).select("db_id", "table_id", "source_level")
+def _merged(runs: DataFrame, catalog: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Outputs of a plan (a written table): db_id, key, seq_num, value, type, target_level."""
     deepest = tables(catalog).groupBy("db_id").agg(F.max("level").alias("_deepest"))
     targets = (
         inputs.groupBy("db_id").agg((F.max("source_level") + 1).alias("target_level"))
         .join(deepest, "db_id").withColumn("_bottom", F.col("_deepest") <= F.col("target_level"))
     )
-    merged = merge(runs.join(inputs.select("db_id", "table_id"), ["db_id", "table_id"], "left_semi"))
+    own = inputs.select("db_id", "table_id").distinct()
+    merged = merge(join_small(runs, own, ["db_id", "table_id"], "left_semi"))
     return (
         join_small(merged, targets.select("db_id", "target_level", "_bottom"), ["db_id"], "inner")
         .where(~((F.col("type") == 1) & F.col("_bottom")))
@@ -126,6 +125,92 @@ def compact(runs: DataFrame, catalog: DataFrame, options: CompactionOptions) ->
     )
 
 
+def compact(runs: DataFrame, catalog: DataFrame, options: CompactionOptions) -> DataFrame:
+    """Run the planned compaction of every store: db_id, key, seq_num, value, type, target_level of all outputs.
+
+    Tombstones go where no table of the store lies deeper than the target.
+    Records of tables that are not inputs are not read past the join with the
+    plan, which is written once.
+    """
+    return _merged(runs, catalog, written(plan(catalog, options), "compaction-plan"))
+
+
+@dataclass(frozen=True)
+class Compacted:
+    """A compaction that was run: the edit to commit, and where its output files are (by db_id and table_id)."""
+
+    edit: DataFrame
+    files: str
+
+
+def run(runs: DataFrame, catalog: DataFrame, edits: DataFrame, options: CompactionOptions, folder: str) -> Compacted:
+    """Run the planned compactions of all stores as a job: write the outputs and make the edits that commit them.
+
+    The plan must be valid and all its inputs live by the edit log, else
+    RuntimeError is raised before anything is written. Outputs of a store
+    are cut once a file holds the target size of its level, and get the ids
+    after the store's last. The edit of a store deletes its inputs, adds its
+    outputs (statistics are taken from the files read back) and moves
+    next_table_id; until it is appended to the log, nothing has changed, and
+    the folder may be removed. Inputs of a compaction are bounded (level 0, or
+    one table and those it overlaps), so cutting one store's outputs in order is.
+    """
+    inputs = written(plan(catalog, options), "compaction-plan")
+    broken = plan_violations(inputs, catalog, options).limit(3).collect()
+    stale = stale_inputs(inputs, replay(edits)).limit(3).collect()
+    if broken or stale:
+        raise RuntimeError(f"the plan is invalid ({broken}) or stale ({stale})")
+    merged = written(_merged(runs, catalog, inputs), "compaction-merged")
+    levels = F.create_map(*[x for i, n in enumerate(options.target_sizes) for x in (F.lit(i), F.lit(n))])
+    sized = merged.select("db_id", "key_entry", record_bytes().alias("_size"), levels[F.col("target_level")].alias("_target"))
+    both = sized.select("db_id", "key_entry", F.struct("_size", "_target").alias("_both"))
+
+    def step(state, both, _):
+        no, used = state or (0, 0)
+        if used >= both["_target"]:
+            no, used = no + 1, 0
+        return (no, used + both["_size"]), no
+
+    cut = fold_sorted(both, ["db_id"], ["key_entry"], "_both", step, "file_no").select("db_id", "key_entry", "file_no")
+    ids = counters(edits).select("db_id", "next_table_id", "last_edit_no")
+    rows = (
+        join_small(merged.join(cut, ["db_id", "key_entry"]), ids, ["db_id"], "left")
+        .withColumn("table_id", F.coalesce("next_table_id", F.lit(1)) + F.col("file_no"))
+        .select("db_id", "table_id", F.col("target_level").alias("level"), "key_entry", "value_entry", "type", "seq_num")
+    )
+    # Files by store and table, a table by one task; the range keeps tables of a store side by side.
+    (
+        rows.repartitionByRange("db_id", "table_id").sortWithinPartitions("db_id", "table_id", "key_entry")
+        .write.partitionBy("db_id", "table_id").parquet(folder)
+    )
+    back = merged.sparkSession.read.schema(rows.schema).parquet(folder)
+    stats = back.groupBy("db_id", "table_id", "level").agg(
+        F.count(F.lit(1)).alias("record_count"), F.sum("type").alias("tombstone_count"),
+        F.min("seq_num").alias("min_seq"), F.max("seq_num").alias("max_seq"),
+        F.min("key_entry").alias("smallest_key"), F.max("key_entry").alias("largest_key"), F.sum(record_bytes()).alias("data_bytes"),
+    )
+    edit = version_edit(inputs, stats, ids)
+    drop(merged)
+    return Compacted(edit, folder)
+
+
+def version_edit(inputs: DataFrame, outputs: DataFrame, ids: DataFrame) -> DataFrame:
+    """One edit for each store of a plan, in the form of the edit log: deletes of its inputs, adds of its outputs, the counter.
+
+    ``ids`` has db_id, next_table_id and last_edit_no. A store whose outputs are all dropped only deletes.
+    """
+    deletes = inputs.select("db_id", F.lit("delete").alias("op"), "table_id", "level")
+    adds = outputs.withColumn("op", F.lit("add"))
+    top = outputs.groupBy("db_id").agg((F.max("table_id") + 1).alias("next_table_id")).withColumn("op", F.lit("counter"))
+    rows = deletes.unionByName(adds, allowMissingColumns=True).unionByName(top, allowMissingColumns=True)
+    number = F.coalesce("last_edit_no", F.lit(0)) + 1
+    return (
+        join_small(rows, ids.select("db_id", "last_edit_no"), ["db_id"], "left")
+        .withColumns({"edit_no": number, "commit_state": F.lit("synced")})
+        .drop("last_edit_no")
+    )
+
+
 def compact_range(runs: DataFrame, low: bytes, high: bytes, bottommost: bool = False) -> DataFrame:
     """Merge of all runs restricted to low <= key <= high; the interval reaches the scan."""
     inside = (F.col("key_entry") >= F.lit(bytearray(low))) & (F.col("key_entry") <= F.lit(bytearray(high)))

@@ -12,8 +12,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from siltstone.functions.expressions import valid_record
+from siltstone.functions.joins import join_small
+from siltstone.sources.tables import written
 
 KEY = ["db_id", "key_entry"]
 
@@ -67,12 +70,33 @@ def dedup_identity(records: DataFrame, arrival: str) -> DataFrame:
     )
 
 
+def merge_order(runs: DataFrame) -> tuple[DataFrame, list]:
+    """Records of several runs and their merge order: key ascending, newest first; at one sequence lower level, newer table."""
+    return runs, ["db_id", "key_entry", F.col("seq_num").desc(), "level", F.col("table_id").desc(), "type", "value_entry", "block_no"]
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """All records of several runs in merge order: key ascending, newest first; nothing is dropped.
+    """All records of several runs in merge order; nothing is dropped.
 
     A global sort: Spark range-partitions on store, key and sequence, so one hot key is spread as well.
     """
-    return runs.orderBy("db_id", "key_entry", F.col("seq_num").desc(), "level", F.col("table_id").desc())
+    rows, order = merge_order(runs)
+    return rows.orderBy(*order[:5])
+
+
+def numbered(rows: DataFrame, order: Sequence) -> DataFrame:
+    """Rows with ``position``, 1 for the first in the order, without gathering them.
+
+    They are written range-partitioned and sorted; a row's position is that
+    in its partition plus the rows of the partitions before. ``order`` should tell all rows apart.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = written(ranged.withColumns({"_p": F.spark_partition_id(), "_i": F.monotonically_increasing_id()}), "numbered")
+    parts = kept.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_low"))
+    # A row for each partition: a window over them all is small.
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.select("_p", (before - F.col("_low") + 1).alias("_from"))
+    return join_small(kept, starts, ["_p"], "inner").withColumn("position", F.col("_i") + F.col("_from")).drop("_p", "_i", "_from")
 
 
 def generations(records: DataFrame, size: int) -> DataFrame:

@@ -90,6 +90,17 @@ MERGED = """merged AS (
   QUALIFY row_number() OVER (PARTITION BY db_id, key_entry ORDER BY seq_num DESC, level, table_id DESC) = 1)"""
 
 
+_VIOLATIONS = f"""spoilt AS (
+  SELECT DISTINCT p.db_id, 'bad_range' AS rule FROM plan p
+  JOIN tables t ON t.db_id = p.db_id AND t.table_id = p.table_id AND t.level = p.level WHERE smallest_key > largest_key
+  UNION SELECT db_id, 'no_source' FROM plan GROUP BY db_id HAVING NOT bool_or(role = 'source')
+  UNION SELECT db_id, 'wrong_level' FROM plan WHERE level <> source_level + CASE role WHEN 'source' THEN 0 ELSE 1 END
+  UNION SELECT db_id, 'last_level' FROM plan WHERE source_level + 1 >= {OPTIONS.max_levels}
+  UNION SELECT db_id, 'reserved_id' FROM plan WHERE table_id <= 0
+  UNION SELECT db_id, 'repeated_table' FROM plan GROUP BY db_id, table_id HAVING count(*) > 1)
+SELECT db_id, rule FROM spoilt"""
+
+
 def _fold(first: str, state: str, step: str, out: str) -> str:
     """A recursive fold over the records of each table in key order."""
     return f"""RECURSIVE {LIVE},
@@ -120,6 +131,9 @@ ORACLE: dict[str, str] = {
 SELECT db_id, hex(key_entry) AS key_hex, seq_num, log_no FROM latest WHERE type = 0""",
     "p1_state": f"""WITH {WINNERS}
 SELECT db_id, hex(key_entry) AS key_hex, seq_num, hex(value_entry) AS value_hex, logged_at FROM latest WHERE type = 0""",
+    "p1_fields": """SELECT db_id, arg_max(next_table_id, edit_no) AS next_table_id,
+  arg_max(next_sequence_number, edit_no) AS next_sequence_number, arg_max(current_wal_id, edit_no) AS current_wal_id
+FROM manifest_edits WHERE commit_state = 'synced' AND op = 'counter' AND edit_no >= 0 GROUP BY db_id""",
     "p2_found": f"""WITH {FRONTIER}
 SELECT DISTINCT db_id, hex(key_entry) AS key_hex, seq_num FROM marked m WHERE NOT was_read AND NOT EXISTS (
   SELECT 1 FROM marked r
@@ -260,9 +274,60 @@ WHERE record_count > 0 AND (smallest_key > largest_key OR min_seq > max_seq)
 UNION ALL SELECT db_id, table_id, 'bad_counts' FROM tables WHERE tombstone_count > record_count
 UNION ALL SELECT db_id, table_id, 'bad_size' FROM tables WHERE data_bytes > file_size
 UNION ALL SELECT t.db_id, table_id, 'id_not_reserved' FROM tables t JOIN counter c ON c.db_id = t.db_id WHERE table_id >= n
-UNION ALL SELECT db_id, table_id, 'level_overlap' FROM (
-  SELECT *, lag(largest_key) OVER (PARTITION BY db_id, level ORDER BY smallest_key, table_id) AS b FROM tables WHERE level > 0)
-WHERE smallest_key <= b""",
+UNION ALL SELECT db_id, table_id, 'reserved_id' FROM tables WHERE table_id <= 0
+UNION ALL SELECT db_id, table_id, 'no_such_level' FROM tables WHERE level IS NULL OR level < 0 OR level >= 7
+UNION ALL SELECT db_id, table_id, 'repeated_id' FROM tables GROUP BY db_id, table_id HAVING count(*) > 1
+UNION ALL SELECT a.db_id, a.table_id, 'level_overlap' FROM tables a WHERE a.level > 0 AND EXISTS (
+  SELECT 1 FROM tables b WHERE b.db_id = a.db_id AND b.level = a.level
+    AND (b.smallest_key < a.smallest_key OR (b.smallest_key = a.smallest_key AND b.table_id < a.table_id))
+    AND b.largest_key >= a.smallest_key)""",
+    "counter_violations": """WITH synced AS (SELECT * FROM manifest_edits WHERE commit_state = 'synced'),
+sets AS (
+  SELECT DISTINCT db_id, edit_no, counter, value FROM (
+    SELECT db_id, edit_no, unnest(['next_table_id', 'next_sequence_number', 'current_wal_id']) AS counter,
+      unnest([next_table_id, next_sequence_number, current_wal_id]) AS value FROM synced WHERE op = 'counter')
+  WHERE value IS NOT NULL),
+ruled AS (
+  SELECT *, unnest(['zero', 'regressed', 'not_above_tables']) AS rule,
+    unnest([value <= 0,
+      EXISTS (SELECT 1 FROM sets o WHERE o.db_id = s.db_id AND o.counter = s.counter AND o.edit_no < s.edit_no AND o.value > s.value),
+      counter = 'next_table_id' AND EXISTS (
+        SELECT 1 FROM synced a WHERE a.op = 'add' AND a.db_id = s.db_id AND a.edit_no <= s.edit_no AND a.table_id >= s.value)]) AS broken
+  FROM sets s)
+SELECT db_id, edit_no, counter, value, rule FROM ruled WHERE broken""",
+    "edit_recovery": """WITH numbered AS (
+  SELECT db_id, edit_no, bool_or(commit_state = 'synced') AS s, bool_or(commit_state = 'torn') AS t, bool_or(commit_state = 'failed') AS f
+  FROM manifest_edits GROUP BY ALL),
+lasts AS (SELECT db_id, max(edit_no) FILTER (WHERE s) AS last_edit_no FROM numbered GROUP BY db_id)
+SELECT l.db_id, last_edit_no, count(*) FILTER (WHERE t AND edit_no > coalesce(last_edit_no, 0)) AS n_lost,
+  count(*) FILTER (WHERE f) AS n_failed, count(*) FILTER (WHERE t AND edit_no <= coalesce(last_edit_no, 0)) AS n_inside
+FROM numbered n JOIN lasts l ON l.db_id IS NOT DISTINCT FROM n.db_id GROUP BY ALL""",
+    "add_violations": """WITH adds AS (
+  SELECT DISTINCT db_id, table_id, level, smallest_key, largest_key FROM manifest_edits
+  WHERE op = 'add' AND commit_state IN ('failed', 'torn')),
+ruled AS (
+  SELECT *, CASE WHEN table_id IS NULL OR table_id <= 0 THEN 'reserved_id'
+    WHEN level IS NULL OR level < 0 OR level >= 7 THEN 'no_such_level' WHEN smallest_key > largest_key THEN 'bad_range'
+    WHEN EXISTS (SELECT 1 FROM table_meta t WHERE t.db_id = a.db_id AND t.table_id = a.table_id)
+      OR count(*) OVER (PARTITION BY db_id, table_id) > 1 THEN 'known_id' END AS rule FROM adds a),
+clear AS (SELECT *, true AS is_new FROM ruled WHERE rule IS NULL AND level > 0),
+others AS (
+  SELECT db_id, table_id, level, smallest_key, largest_key, true AS is_new FROM clear
+  UNION SELECT db_id, table_id, level, smallest_key, largest_key, false FROM table_meta)
+SELECT DISTINCT db_id, table_id, rule FROM ruled WHERE rule IS NOT NULL
+UNION SELECT a.db_id, a.table_id, 'overlap' FROM clear a WHERE EXISTS (
+  SELECT 1 FROM others o WHERE o.db_id = a.db_id AND o.level = a.level AND NOT (o.is_new AND o.table_id = a.table_id)
+    AND o.smallest_key <= a.largest_key AND o.largest_key >= a.smallest_key)""",
+    "remove_violations": """WITH asked AS (
+  SELECT db_id, table_id, level, count(*) OVER (PARTITION BY db_id, table_id) AS n FROM manifest_edits
+  WHERE op = 'delete' AND commit_state IN ('failed', 'torn')),
+ruled AS (
+  SELECT db_id, table_id, level, CASE WHEN table_id IS NULL OR table_id <= 0 THEN 'reserved_id'
+    WHEN NOT EXISTS (SELECT 1 FROM table_meta t WHERE t.db_id = a.db_id AND t.table_id = a.table_id) THEN 'not_found'
+    WHEN level IS NOT NULL AND NOT EXISTS (
+      SELECT 1 FROM table_meta t WHERE t.db_id = a.db_id AND t.table_id = a.table_id AND t.level = a.level) THEN 'wrong_level'
+    WHEN n > 1 THEN 'repeated' END AS rule FROM asked a)
+SELECT DISTINCT db_id, table_id, level, rule FROM ruled WHERE rule IS NOT NULL""",
     "level_stats": f"""WITH {CATALOG}
 SELECT db_id, level, count(*) AS n_tables, sum(coalesce(file_size, 0))::BIGINT AS n_bytes FROM tables GROUP BY ALL""",
     "candidate_tables": f"""WITH {CATALOG}
@@ -278,13 +343,15 @@ FROM (SELECT DISTINCT db_id FROM table_meta) s LEFT JOIN due USING (db_id)""",
     "key_spans": f"""WITH {PLAN}
 SELECT p.db_id, hex(min(smallest_key)) AS smallest_key, hex(max(largest_key)) AS largest_key, count(*) AS n_tables
 FROM plan p JOIN tables t ON t.db_id = p.db_id AND t.table_id = p.table_id AND t.level = p.level GROUP BY p.db_id""",
-    "plan_violations": f"""WITH {PLAN}
-SELECT DISTINCT p.db_id, 'bad_range' AS rule FROM plan p
-JOIN tables t ON t.db_id = p.db_id AND t.table_id = p.table_id AND t.level = p.level WHERE smallest_key > largest_key
-UNION SELECT db_id, 'wrong_level' FROM plan WHERE level <> source_level + CASE role WHEN 'source' THEN 0 ELSE 1 END
-UNION SELECT db_id, 'last_level' FROM plan WHERE source_level + 1 >= {OPTIONS.max_levels}
-UNION SELECT db_id, 'reserved_id' FROM plan WHERE table_id <= 0
-UNION SELECT db_id, 'repeated_table' FROM plan GROUP BY db_id, table_id HAVING count(*) > 1""",
+    "plan_violations": f"""WITH {PLAN}, {_VIOLATIONS}""",
+    "damaged_plan": f"""WITH {PLAN.replace("plan AS (", "good AS (")},
+broken AS (
+  SELECT db_id, source_level + CASE WHEN db_id % 3 = 0 THEN 6 ELSE 0 END AS source_level,
+    CASE WHEN table_id % 7 = 0 THEN 0 ELSE table_id END AS table_id, level + CASE WHEN table_id % 5 = 0 THEN 1 ELSE 0 END AS level, role
+  FROM good WHERE NOT (role = 'source' AND db_id % 4 = 0)),
+plan AS (SELECT * FROM broken UNION ALL SELECT * FROM broken WHERE table_id % 3 = 0),
+{_VIOLATIONS}""",
+    "stale_after_commit": f"""WITH {PLAN} SELECT db_id, table_id, level, source_level, role FROM plan""",
     "stale_inputs": f"""WITH {PLAN},
 moves AS (
   SELECT * FROM manifest_edits WHERE commit_state = 'synced' AND op IN ('add', 'delete')
@@ -375,4 +442,47 @@ SELECT f.db_id, f.wal_id, count(o.log_no) FILTER (WHERE g.db_id IS NOT NULL) AS
 FROM files f LEFT JOIN good g ON g.db_id = f.db_id AND g.wal_id = f.wal_id
 LEFT JOIN once o ON o.db_id IS NOT DISTINCT FROM f.db_id AND o.wal_id IS NOT DISTINCT FROM f.wal_id AND (bad IS NULL OR o.log_no < bad)
 GROUP BY f.db_id, f.wal_id, g.db_id, bad""",
+    "order_positions": f"""WITH {WINNERS}, {LIVE},
+dumped AS (SELECT DISTINCT log_no, db_id, wal_id, key_entry, value_entry, type, seq_num FROM valid)
+SELECT 'merge' AS kind, db_id, hex(key_entry) AS key_hex, seq_num, row_number() OVER (
+  ORDER BY db_id, key_entry, seq_num DESC, level, table_id DESC, type, value_entry NULLS FIRST, block_no) AS position FROM runs
+UNION ALL SELECT 'dump', db_id, hex(key_entry), seq_num, row_number() OVER (ORDER BY db_id, key_entry, seq_num DESC, log_no) FROM dumped
+UNION ALL SELECT 'scan', db_id, hex(key_entry), seq_num, row_number() OVER (ORDER BY db_id, key_entry) FROM latest
+WHERE type = 0 AND key_entry >= {LO} AND key_entry < {HI}""",
+    "index_check": f"""WITH {LIVE},
+real AS (SELECT db_id, table_id, block_no, min(key_entry) AS lo, max(key_entry) AS hi FROM runs GROUP BY ALL)
+SELECT db_id, table_id, block_no, CASE block_no % 5 WHEN 4 THEN 'missing' ELSE 'wrong_keys' END AS rule FROM real
+WHERE block_no % 5 = 4 OR (block_no % 5 = 3 AND lo <> hi)""",
+    "compact_commit": f"""WITH RECURSIVE {PLAN}, {LIVE},
+picked AS (SELECT * FROM runs r WHERE EXISTS (SELECT 1 FROM plan p WHERE p.db_id = r.db_id AND p.table_id = r.table_id)),
+{MERGED.format(source="picked")},
+goal AS (
+  SELECT p.db_id, max(source_level) + 1 AS target_level,
+    (SELECT max(level) FROM tables t WHERE t.db_id = p.db_id) <= max(source_level) + 1 AS bottom
+  FROM plan p GROUP BY p.db_id),
+outs AS (
+  SELECT m.*, target_level, 25 + octet_length(key_entry) + coalesce(octet_length(value_entry), 0) AS size,
+    row_number() OVER (PARTITION BY m.db_id ORDER BY key_entry) AS i
+  FROM merged m JOIN goal g ON g.db_id = m.db_id WHERE NOT (m.type = 1 AND bottom)),
+fold AS (
+  SELECT db_id, i, 0::BIGINT AS file_no, size AS used FROM outs WHERE i = 1
+  UNION ALL
+  SELECT n.db_id, n.i, CASE WHEN used >= {OPTIONS.target_sizes[0]} THEN file_no + 1 ELSE file_no END,
+    CASE WHEN used >= {OPTIONS.target_sizes[0]} THEN n.size ELSE used + n.size END
+  FROM fold f JOIN outs n ON n.db_id = f.db_id AND n.i = f.i + 1),
+ids AS (
+  SELECT db_id, greatest(max(next_table_id), max(CASE WHEN op = 'add' THEN table_id + 1 END)) AS next_id, max(edit_no) AS last_no
+  FROM manifest_edits WHERE commit_state = 'synced' GROUP BY db_id),
+added AS (
+  SELECT o.db_id, coalesce(max(next_id), 1) + file_no AS table_id, target_level AS level, count(*) AS record_count,
+    sum(type)::BIGINT AS tombstone_count, min(seq_num) AS min_seq, max(seq_num) AS max_seq, hex(min(key_entry)) AS smallest_key,
+    hex(max(key_entry)) AS largest_key, sum(size)::BIGINT AS data_bytes
+  FROM outs o JOIN fold f ON f.db_id = o.db_id AND f.i = o.i LEFT JOIN ids ON ids.db_id = o.db_id GROUP BY o.db_id, file_no, target_level),
+edit AS (
+  SELECT db_id, 'delete' AS op, table_id, level, NULL::BIGINT AS record_count, NULL::BIGINT AS tombstone_count, NULL::BIGINT AS min_seq,
+    NULL::BIGINT AS max_seq, NULL AS smallest_key, NULL AS largest_key, NULL::BIGINT AS data_bytes, NULL::BIGINT AS next_table_id FROM plan
+  UNION ALL SELECT db_id, 'add', table_id, level, record_count, tombstone_count, min_seq, max_seq, smallest_key, largest_key, data_bytes, NULL
+  FROM added
+  UNION ALL SELECT db_id, 'counter', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, max(table_id) + 1 FROM added GROUP BY db_id)
+SELECT e.*, coalesce(last_no, 0) + 1 AS edit_no FROM edit e LEFT JOIN ids USING (db_id)""",
 }

@@ -22,7 +22,9 @@ HOT_KEY = b"lease/coordinator"
 #: The interval of range queries.
 LOW, HIGH = b"acct/", b"acct0"
 #: Thresholds that make some stores of the test data due for compaction.
-OPTIONS = compaction.CompactionOptions(level_limits=(150_000, 400_000, 4_000_000, 40_000_000, 400_000_000))
+OPTIONS = compaction.CompactionOptions(
+    level_limits=(150_000, 400_000, 4_000_000, 40_000_000, 400_000_000), target_sizes=(16_384,) * 7
+)
 GENERATION = 1_000
 OUTPUT_BYTES = 2_048
 #: Records whose sequence is a multiple of this get a wrong checksum in the recovery query.
@@ -102,11 +104,11 @@ def read_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def known_keys(spark: SparkSession, d: str) -> DataFrame:
-    """Arriving keys that are live (semi join) per store, and those that are not (anti join)."""
+    """How many arriving keys are live in their store, and how many are not: semi and anti join in one."""
     keys = load(spark, d, "incoming_records").select("db_id", "key_entry").where("key_entry IS NOT NULL").distinct()
     live = resolve.live_view(log(spark, d), _tie()).select("db_id", "key_entry")
-    count = lambda how, yes: keys.join(live, ["db_id", "key_entry"], how).groupBy("db_id").agg(F.count(F.lit(1)).alias("n")).withColumn("known", F.lit(yes))
-    return count("left_semi", True).unionByName(count("left_anti", False))
+    found = keys.join(live.withColumn("known", F.lit(True)), ["db_id", "key_entry"], "left")
+    return found.groupBy("db_id", F.coalesce("known", F.lit(False)).alias("known")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def memtable_get(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +123,20 @@ def merge_runs(spark: SparkSession, d: str) -> DataFrame:
     return _out(resolve.merge_runs(live_runs(spark, d)), "db_id", "key_entry", "seq_num", "level", "table_id", "type")
 
 
+def order_positions(spark: SparkSession, d: str) -> DataFrame:
+    """The places of records in the three ordered outputs: merge of runs, dump of the log, range scan."""
+    outputs = {
+        "merge": resolve.merge_order(live_runs(spark, d)),
+        "dump": (log(spark, d).where(valid_record()).drop("logged_at"), ["db_id", "key_entry", F.col("seq_num").desc(), "log_no"]),
+        "scan": (resolve.range_scan(log(spark, d), LOW, HIGH, _tie()), resolve.KEY),
+    }
+    out = None
+    for kind, (rows, order) in outputs.items():
+        one = _out(resolve.numbered(rows.distinct(), order), "db_id", "key_entry", "seq_num", "position").withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def ordered_dump(spark: SparkSession, d: str) -> DataFrame:
     ordered = log(spark, d).where(valid_record()).orderBy("db_id", "key_entry", F.col("seq_num").desc(), "log_no")
     return _out(ordered, "db_id", "key_entry", "seq_num", "log_no", "type")
@@ -211,6 +227,30 @@ def manifest_violations(spark: SparkSession, d: str) -> DataFrame:
     return catalog.violations(load(spark, d, "table_meta"), load(spark, d, "manifest_edits"))
 
 
+def counter_violations(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.counter_violations(load(spark, d, "manifest_edits"))
+
+
+def edit_recovery(spark: SparkSession, d: str) -> DataFrame:
+    return catalog.recovery(load(spark, d, "manifest_edits"))
+
+
+def _refused(spark: SparkSession, d: str, op: str) -> DataFrame:
+    """Rows of edits that did not take effect."""
+    lost = (F.col("op") == op) & F.col("commit_state").isin("failed", "torn")
+    return load(spark, d, "manifest_edits").where(lost)
+
+
+def add_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Which adds of edits that did not take effect could not be made now."""
+    return checks.add_violations(_refused(spark, d, "add"), load(spark, d, "table_meta"))
+
+
+def remove_violations(spark: SparkSession, d: str) -> DataFrame:
+    """Which deletes of edits that did not take effect would have no effect now."""
+    return checks.remove_violations(_refused(spark, d, "delete"), load(spark, d, "table_meta"))
+
+
 def level_stats(spark: SparkSession, d: str) -> DataFrame:
     return catalog.level_stats(load(spark, d, "table_meta"))
 
@@ -254,6 +294,33 @@ def stale_inputs(spark: SparkSession, d: str) -> DataFrame:
     return compaction.stale_inputs(inputs, catalog.replay(load(spark, d, "manifest_edits")))
 
 
+def stale_after_commit(spark: SparkSession, d: str) -> DataFrame:
+    """Inputs of a plan that are gone once the plan has been committed: it can't be run twice."""
+    inputs = compaction.plan(load(spark, d, "table_meta"), OPTIONS)
+    live = catalog.replay(load(spark, d, "manifest_edits")).join(inputs, ["db_id", "table_id", "level"], "left_anti")
+    return compaction.stale_inputs(inputs, live)
+
+
+def damaged_plan(spark: SparkSession, d: str) -> DataFrame:
+    """What the validation says of a plan with planted faults: sources lost, levels wrong, tables repeated and renumbered."""
+    t = load(spark, d, "table_meta")
+    good = compaction.plan(t, OPTIONS)
+    kept = good.where(~((F.col("role") == "source") & (F.col("db_id") % 4 == 0)))
+    off = kept.withColumn("level", F.col("level") + (F.col("table_id") % 5 == 0).cast("int"))
+    zero = off.withColumn("table_id", F.when(F.col("table_id") % 7 == 0, 0).otherwise(F.col("table_id")))
+    deep = zero.withColumn("source_level", F.col("source_level") + F.when(F.col("db_id") % 3 == 0, 6).otherwise(0))
+    return compaction.plan_violations(deep.unionByName(deep.where(F.col("table_id") % 3 == 0)), t, OPTIONS)
+
+
+def compact_commit(spark: SparkSession, d: str) -> DataFrame:
+    """Run the planned compactions and list the edits that commit them: inputs deleted, outputs added."""
+    tables = (load(spark, d, t) for t in ("table_meta", "manifest_edits"))
+    done = compaction.run(live_runs(spark, d), *tables, OPTIONS, scratch(spark, "compacted"))
+    cols = ["db_id", "edit_no", "op", "table_id", "level", "record_count", "tombstone_count", "min_seq", "max_seq", "smallest_key",
+            "largest_key", "data_bytes", "next_table_id"]
+    return _out(done.edit, *cols)
+
+
 def compact(spark: SparkSession, d: str) -> DataFrame:
     out = compaction.compact(live_runs(spark, d), load(spark, d, "table_meta"), OPTIONS)
     return _out(out, "db_id", "target_level", "key_entry", "seq_num", "type", "value_entry")
@@ -279,6 +346,13 @@ def order_violations(spark: SparkSession, d: str) -> DataFrame:
     return checks.order_violations(live_runs(spark, d))
 
 
+def index_check(spark: SparkSession, d: str) -> DataFrame:
+    """A block index with planted faults against the records: entries left out, entries cut short."""
+    real = runs.block_index(live_runs(spark, d)).drop("n_records")
+    stored = real.where("block_no % 5 <> 4").withColumn("last_key", F.expr("if(block_no % 5 = 3, first_key, last_key)"))
+    return checks.index_violations(live_runs(spark, d), stored)
+
+
 def meta_consistency(spark: SparkSession, d: str) -> DataFrame:
     return checks.meta_consistency(load(spark, d, "table_meta"), live_runs(spark, d))
 
@@ -348,6 +422,13 @@ def p1_state(spark: SparkSession, d: str) -> DataFrame:
     return _out(state, "db_id", "key_entry", "seq_num", "value_entry", "logged_at")
 
 
+def p1_fields(spark: SparkSession, d: str) -> DataFrame:
+    """The counters of every store from changes that set some of them and leave others as they were."""
+    edits = load(spark, d, "manifest_edits").where("commit_state = 'synced'")
+    fields = ["next_table_id", "next_sequence_number", "current_wal_id"]
+    return changes.apply_changes(edits, ["db_id"], "edit_no", "op", fields, update=["counter"])
+
+
 def _incremental_runs(spark: SparkSession, d: str) -> list[tuple[int, DataFrame]]:
     """Version and added rows of two runs into a published target: over the read files, then over the whole log."""
     tables = (load(spark, d, t) for t in ("changelog", "manifest_edits", "wal_headers"))
@@ -408,12 +489,12 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_state, p2_found, p2_runs, p3_found, p3_files, p3_rows, p4_found, p4_counts,
+        p1_found, p1_state, p1_fields, p2_found, p2_runs, p3_found, p3_files, p3_rows, p4_found, p4_counts,
         live_view, latest_view, live_count, point_get, multi_get, range_scan, read_path, known_keys, memtable_get, dedup_identity, merge_runs,
-        ordered_dump, generations, oldest_generation, memtable_usage, sstable_get, table_meta, block_index,
+        ordered_dump, order_positions, generations, oldest_generation, memtable_usage, sstable_get, table_meta, block_index,
         index_candidates, bloom_build, bloom_probe, estimate_size, block_packing, output_split, record_checksums,
-        manifest_replay, counter_state, edit_outcomes, manifest_violations, level_stats, candidate_tables, overlapping_tables,
-        should_compact, pick_source, compaction_plan, key_spans, plan_violations, stale_inputs, compact, compact_bottom, compact_range, record_violations,
-        order_violations, meta_consistency, bloom_consistency, wal_fragment, wal_reassemble, wal_recover,
+        manifest_replay, counter_state, edit_outcomes, manifest_violations, counter_violations, edit_recovery, add_violations, remove_violations, level_stats, candidate_tables, overlapping_tables,
+        should_compact, pick_source, compaction_plan, key_spans, plan_violations, stale_inputs, stale_after_commit, damaged_plan, compact, compact_commit, compact_bottom, compact_range, record_violations,
+        order_violations, index_check, meta_consistency, bloom_consistency, wal_fragment, wal_reassemble, wal_recover,
     )
 }

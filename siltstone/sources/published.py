@@ -50,8 +50,11 @@ class Folder:
 
     def publish(self, version: int, state: dict) -> None:
         """Publish a version that doesn't exist yet; RuntimeError if another writer was first."""
+        self.publish_bytes(version, json.dumps(state).encode())
+
+    def publish_bytes(self, version: int, data: bytes) -> None:
         temp = f".pending-{uuid.uuid4().hex}"
-        self.write_bytes(temp, json.dumps(state).encode())
+        self.write_bytes(temp, data)
         final = self._at(f"{self.path}/version-{version}.json")
         if self._fs.exists(final) or not self._fs.rename(self._at(f"{self.path}/{temp}"), final):
             self.delete(temp)
@@ -65,6 +68,17 @@ class Folder:
         finally:
             out.close()
 
+    def appender(self, name: str):
+        """A new file to write to bit by bit; ``hsync`` makes what was written durable.
+
+        On a local file system without its checksum files, which would hold back the last bytes.
+        """
+        uri = self._at(self.path).toUri()
+        fs = self._fs.newInstance(uri, self._fs.getConf()) if uri.getScheme() is not None else self._fs
+        if uri.getScheme() in (None, "file"):
+            fs.setWriteChecksum(False)
+        return fs.create(self._at(f"{self.path}/{name}"), False)
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(f"{self.path}/{name}"), True)
 

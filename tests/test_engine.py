@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.expressions import bloom_slots, normal_path
 from siltstone.functions.joins import join_small
-from siltstone.operators import catalog, compaction, resolve, wal
+from siltstone.operators import catalog, checks, compaction, resolve, wal
 from siltstone.operators.runs import bloom_build, bloom_probe, pack_blocks, split_outputs
 from siltstone.sources.tables import SCHEMAS
 from siltstone.store import Store, UseAfterClose
@@ -133,9 +133,134 @@ def test_equal_sequences_across_runs(spark):
 
 
 def test_violations(spark):
-    c = cat(spark, [(1, 1, b"a", b"f", 9), (2, 1, b"f", b"z", 9), (3, 0, b"z", b"a", 9), (4, 0, b"a", b"b", 0)])
+    c = cat(spark, [(1, 1, b"a", b"f", 9), (2, 1, b"f", b"z", 9), (3, 0, b"z", b"a", 9), (4, 0, b"a", b"b", 0), (0, 0, b"a", b"b", 9),
+                    (5, 9, b"a", b"b", 9), (6, 3, b"a", b"b", 9), (6, 4, b"a", b"b", 9)])
     edits = spark.createDataFrame([], SCHEMAS["manifest_edits"])
-    assert {(r[1], r[2]) for r in catalog.violations(c, edits).collect()} == {(2, "level_overlap"), (3, "bad_range"), (4, "bad_size")}
+    assert {(r[1], r[2]) for r in catalog.violations(c, edits).collect()} == {
+        (2, "level_overlap"), (3, "bad_range"), (4, "bad_size"), (0, "reserved_id"), (5, "no_such_level"), (6, "repeated_id"),
+    }
+
+
+def test_overlap_with_an_earlier_wide_table(spark):
+    c = cat(spark, [(1, 1, b"a", b"z", 9), (2, 1, b"b", b"c", 9), (3, 1, b"d", b"e", 9)])
+    got = catalog.violations(c, spark.createDataFrame([], SCHEMAS["manifest_edits"])).collect()
+    assert {(r[1], r[2]) for r in got} == {(2, "level_overlap"), (3, "level_overlap")}
+
+
+def edit_rows(spark, rows):
+    """(edit_no, op, table_id, next_table_id, next_sequence_number, current_wal_id, commit_state)"""
+    full = [(1, n, op, t, None, *[None] * 10, a, b, c, state, None) for n, op, t, a, b, c, state in rows]
+    return spark.createDataFrame(full, SCHEMAS["manifest_edits"])
+
+
+def test_counter_rules(spark):
+    rows = [
+        (1, "counter", None, 5, 10, 1, "synced"), (2, "add", 7, None, None, None, "synced"), (2, "counter", None, 7, 9, 0, "synced"),
+        (3, "counter", None, 9, 10, None, "synced"), (3, "counter", None, 9, 10, None, "synced"), (4, "counter", None, 1, 1, 1, "failed"),
+    ]
+    got = {tuple(r)[1:] for r in catalog.counter_violations(edit_rows(spark, rows)).collect()}
+    assert got == {
+        (2, "next_table_id", 7, "not_above_tables"), (2, "next_sequence_number", 9, "regressed"),
+        (2, "current_wal_id", 0, "zero"), (2, "current_wal_id", 0, "regressed"),
+    }
+
+
+def test_recovery_of_the_edit_log(spark):
+    rows = [(n, "add", n, None, None, None, s) for n, s in enumerate(["synced", "torn", "failed", "synced", "torn"], 1)]
+    assert [tuple(r) for r in catalog.recovery(edit_rows(spark, rows)).collect()] == [(1, 4, 1, 1, 1)]
+
+
+def test_add_rules(spark):
+    live = cat(spark, [(1, 1, b"d", b"f", 9), (2, 1, b"m", b"p", 9), (3, 0, b"a", b"z", 9)])
+    adds = [(10, 1, b"a", b"c"), (11, 1, b"f", b"g"), (12, 1, b"a", b"d"), (13, 1, b"l", b"q"), (14, 1, b"n", b"o"), (15, 0, b"a", b"z"),
+            (0, 0, b"a", b"b"), (16, 7, b"a", b"b"), (17, 2, b"c", b"b"), (3, 2, b"a", b"b"), (18, 3, b"a", b"c"), (19, 3, b"c", b"e")]
+    got = checks.add_violations(cat(spark, [(*a, 1) for a in adds]), live).collect()
+    assert {(r["table_id"], r["rule"]) for r in got} == {
+        *((t, "overlap") for t in (10, 11, 12, 13, 14, 18, 19)), (0, "reserved_id"), (16, "no_such_level"), (17, "bad_range"), (3, "known_id"),
+    }
+
+
+def test_remove_rules(spark):
+    live = cat(spark, [(1, 1, b"d", b"f", 9), (2, 0, b"m", b"p", 9), (4, 0, b"m", b"p", 9)])
+    asked = spark.createDataFrame([(1, 1, 1), (1, 2, 1), (1, 3, 0), (1, 0, 0), (2, 1, 1), (1, 4, 0), (1, 4, None)], "db_id bigint, table_id bigint, level int")
+    got = {tuple(r) for r in checks.remove_violations(asked, live).collect()}
+    assert got == {(1, 2, 1, "wrong_level"), (1, 3, 0, "not_found"), (1, 0, 0, "reserved_id"), (2, 1, 1, "not_found"), (1, 4, 0, "repeated"), (1, 4, None, "repeated")}
+
+
+def test_planted_faults_of_plans(spark):
+    c = cat(spark, [(1, 0, b"a", b"b", 1), (2, 0, b"c", b"b", 1), (3, 1, b"a", b"b", 1)])
+    plan = lambda rows: spark.createDataFrame(rows, "db_id bigint, source_level int, table_id bigint, level int, role string")
+    rules = lambda rows: {r["rule"] for r in compaction.plan_violations(plan(rows), c, OPT).collect()}
+    good = [(1, 0, 1, 0, "source"), (1, 0, 3, 1, "overlap")]
+    assert rules(good) == set()
+    assert rules(good[1:]) == {"no_source"} and rules(good + good[:1]) == {"repeated_table"}
+    assert rules([*good, (1, 0, 2, 0, "source")]) == {"bad_range"} and rules([*good, (1, 0, 0, 0, "source")]) == {"reserved_id"}
+    assert rules([*good, (1, 0, 9, 1, "source")]) == {"wrong_level"} and rules([(1, 2, 1, 2, "source")]) == {"last_level"}
+    live = plan(good[:1]).select("db_id", "table_id", "level")
+    assert [r["table_id"] for r in compaction.stale_inputs(plan(good), live).collect()] == [3]
+
+
+def test_planted_order_faults(spark):
+    row = lambda block, key, seq: (1, 1, 0, block, bytearray(key), None, 0, seq)
+    out = lambda rows: [tuple(r)[2:] for r in checks.order_violations(spark.createDataFrame(rows, SCHEMAS["run_records"])).orderBy("block_no").collect()]
+    assert out([row(0, b"a", 9), row(0, b"b", 5), row(1, b"b", 4), row(2, b"c", 1)]) == []
+    assert out([row(0, b"b", 9), row(1, b"a", 9), row(2, b"c", 1)]) == [(1, True, 0)]
+    assert out([row(0, b"a", 4), row(1, b"a", 9)]) == [(1, True, 0)]  # newest first
+    assert out([row(0, b"a", 4), row(0, b"a", 4)]) == [(0, False, 1)]
+
+
+def test_compaction_job_commits_or_refuses(spark, tmp_path):
+    c = cat(spark, [(1, 0, b"a", b"m", 1), (2, 0, b"a", b"m", 1)])
+    keys = [b"%c%d" % (97 + i % 13, i) for i in range(60)]
+    runs = spark.createDataFrame(
+        [(1, 1 + i % 2, 0, 0, bytearray(k), bytearray(b"v" * 30), int(i % 10 == 0), i + 1) for i, k in enumerate(keys)], SCHEMAS["run_records"]
+    )
+    adds = [(n, "add", t, None, None, None, "synced") for n, t in ((1, 1), (2, 2))]
+    edits = edit_rows(spark, adds).fillna({"level": 0})
+    options = compaction.CompactionOptions(max_levels=3, l0_trigger=2, level_limits=(100,), target_sizes=(500, 500, 500))
+    done = compaction.run(runs, c, edits, options, f"file://{tmp_path}/out")
+    rows = done.edit.orderBy("op", "table_id").collect()
+    assert [(r["op"], r["table_id"], r["level"]) for r in rows if r["op"] == "delete"] == [("delete", 1, 0), ("delete", 2, 0)]
+    added = [r for r in rows if r["op"] == "add"]
+    assert [r["table_id"] for r in added] == list(range(3, 3 + len(added))) and len(added) > 3
+    assert sum(r["record_count"] for r in added) == 54 and {r["edit_no"] for r in rows} == {3}
+    assert all(bytes(a["largest_key"]) < bytes(b["smallest_key"]) for a, b in zip(added, added[1:], strict=False))
+    assert all(500 <= r["data_bytes"] < 600 for r in added[:-1])
+    assert [r["next_table_id"] for r in rows if r["op"] == "counter"] == [3 + len(added)]
+    # Appended to the log, the same plan is stale and nothing is written.
+    cols = [f.split()[0] for f in SCHEMAS["manifest_edits"].split(", ")]
+    after = edits.select(*cols).unionByName(done.edit.select(*[x for x in cols if x in done.edit.columns]), allowMissingColumns=True)
+    with pytest.raises(RuntimeError):
+        compaction.run(runs, c, after, options, f"file://{tmp_path}/twice")
+    assert not (tmp_path / "twice").exists()
+    assert {r["table_id"] for r in catalog.replay(after).collect()} == {r["table_id"] for r in added}
+
+
+def test_log_damage_of_fragments(spark):
+    frags = wal.to_fragments(records(spark, [(i + 1, 0, b"k%d" % i, b"x" * 200) for i in range(6)]), ["seq_num"], 128)
+    third = F.col("seq_num") == 3
+    flipped = frags.withColumn("payload", F.when(third & (F.col("frag_no") == 1), F.encode(F.lit("y" * 106), "UTF-8")).otherwise(F.col("payload")))
+    got = lambda df, **k: sorted((r["seq_num"], r["corruption"]) for r in wal.to_records(df, **k).collect())
+    assert got(flipped) == [(1, None), (2, None), (3, "bad_checksum")]
+    assert got(flipped, stop=False) == [(n, "bad_checksum" if n == 3 else None) for n in range(1, 7)]
+    heads = spark.createDataFrame([(1, 1, 0)], "db_id bigint, wal_id bigint, version int")
+    assert [(r["seq_num"], r["corruption"]) for r in wal.to_records(frags, heads).collect()] == [(None, "bad_header")]
+    good = heads.withColumn("version", F.lit(1))
+    assert len(got(frags, headers=good)) == 6
+
+
+def test_stream_rewrites_touched_buckets_only(spark, tmp_path):
+    state = LatestState(spark, f"file://{tmp_path}/s", buckets=8)
+    row = lambda n, key, seq: (n, 1, 1, bytearray(key), bytearray(b"v"), 0, seq, None)
+    batch = lambda rows: spark.createDataFrame(rows, SCHEMAS["changelog"])
+    state.apply(batch([row(i, b"k%d" % i, 1) for i in range(50)]), 0)
+    before = state._folder.state()["folders"]
+    state.apply(batch([row(99, b"k7", 5)]), 1)
+    after = state._folder.state()["folders"]
+    assert len(before) == len(after) == 8 and sum(before[b] != after[b] for b in after) == 1
+    assert state.read().count() == 50 and {r["seq_num"] for r in state.read().where("log_no = 99").collect()} == {5}
+    state.apply(batch([]), 2)
+    assert LatestState(spark, f"file://{tmp_path}/s").buckets == 8 and state.read().count() == 50
 
 
 def test_packing_rules(spark):
