@@ -30,6 +30,8 @@ ASCII_PATTERN = (
 )
 #: Words kept with their ids in a worker; beyond that it starts afresh.
 CACHE_WORDS = 400_000
+#: Characters of the words kept, likewise: long runs (base64) are few words but much memory.
+CACHE_CHARS = 32_000_000
 #: Characters of text that are split and encoded together.
 CHUNK_CHARS = 1_000_000
 #: Elements of the trees that are merged side by side.
@@ -82,7 +84,7 @@ class Bpe:
         self.lengths = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
         self.pool = np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.used = self.held = 0
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs; a negative token is no token."""
@@ -240,9 +242,10 @@ class Bpe:
         """A number for each word under which its ids are kept."""
         fresh = list(set(words).difference(self.cache))
         if fresh:
-            if len(self.cache) + len(fresh) > CACHE_WORDS and self.cache:
+            if self.cache and (len(self.cache) + len(fresh) > CACHE_WORDS or self.held > CACHE_CHARS):
                 self._reset()
                 fresh = list(set(words))
+            self.held += sum(map(len, fresh))
             ids, counts = self.encode_words([x.encode("utf-8", "replace") for x in fresh])
             n = len(self.cache)
             self.lengths = _room(self.lengths, n + len(fresh))

@@ -85,6 +85,14 @@ def test_cache_starts_afresh(own, third, monkeypatch):
     assert ids(fresh, texts) == [third(t) for t in texts] and len(fresh.cache) <= 100
 
 
+def test_cache_is_bounded_in_characters(own, third, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_CHARS", 3000)
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 100)
+    fresh = bpe.Bpe(PATH)
+    texts = [f"{i}" + "ab" * 500 + f" {i}" for i in range(40)]
+    assert ids(fresh, texts) == [third(t) for t in texts] and sum(map(len, fresh.cache)) <= 5000
+
+
 def test_documents(spark, third):
     rows = [(1, "Hello wörld"), (2, ""), (3, None), (1, "Hello wörld"), (None, "  "), (4, "x" * 200_000)]
     df = spark.createDataFrame([(i, t, 7, "z") for i, t in rows], "doc_id bigint, text string, ids int, n_tokens string")
