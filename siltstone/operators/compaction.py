@@ -12,7 +12,8 @@ from siltstone.functions.joins import join_small
 from siltstone.operators.catalog import counters, level_stats, replay, tables
 from siltstone.operators.resolve import latest_view
 from siltstone.operators.runs import fold_sorted
-from siltstone.sources.tables import drop, written
+from siltstone.sources.published import Folder
+from siltstone.sources.tables import scratch, written
 
 MIB = 1 << 20
 
@@ -160,7 +161,8 @@ def run(runs: DataFrame, catalog: DataFrame, edits: DataFrame, options: Compacti
     stale = stale_inputs(inputs, replay(edits)).limit(3).collect()
     if broken or stale:
         raise RuntimeError(f"the plan is invalid ({broken}) or stale ({stale})")
-    merged = written(_merged(runs, catalog, inputs), "compaction-merged")
+    steps = Folder(runs.sparkSession, scratch(runs.sparkSession, "compaction"))
+    merged = written(_merged(runs, catalog, inputs), "", f"{steps.path}/merged")
     levels = F.create_map(*[x for i, n in enumerate(options.target_sizes) for x in (F.lit(i), F.lit(n))])
     sized = merged.select("db_id", "key_entry", record_bytes().alias("_size"), levels[F.col("target_level")].alias("_target"))
     both = sized.select("db_id", "key_entry", F.struct("_size", "_target").alias("_both"))
@@ -190,7 +192,7 @@ def run(runs: DataFrame, catalog: DataFrame, edits: DataFrame, options: Compacti
         F.min("key_entry").alias("smallest_key"), F.max("key_entry").alias("largest_key"), F.sum(record_bytes()).alias("data_bytes"),
     )
     edit = version_edit(inputs, stats, ids)
-    drop(merged)
+    steps.delete("")
     return Compacted(edit, folder)
 
 

@@ -126,7 +126,7 @@ class IncrementalTarget:
     def _merged(self, state: dict, version: int) -> list[str]:
         """The folders of a version with the smaller half of them, beside the newest, rewritten as one."""
         *old, newest = state["folders"]
-        by_size = sorted(old, key=lambda n: sum(Folder(self.spark, f"{self.path}/{n}").sizes()))
+        by_size = sorted(old, key=self._folder.size)
         small, rest = by_size[: len(old) // 2], by_size[len(old) // 2 :]
         name = f"rows-{version}-{uuid.uuid4().hex}"
         self._rows(state, small).coalesce(max(1, len(small))).write.parquet(f"{self.path}/{name}")

@@ -22,6 +22,7 @@ from siltstone.functions.expressions import (
     bloom_slots,
     record_bytes,
 )
+from siltstone.functions.joins import join_small
 
 TABLE = ["db_id", "table_id"]
 
@@ -176,6 +177,24 @@ def bloom_probe(sections: DataFrame, key: bytes) -> DataFrame:
     return sections.select(*TABLE, F.when(bloom_valid(), F.coalesce(both, F.lit(False))).otherwise(True).alias("may_contain"))
 
 
+def pruned_get(runs: DataFrame, candidates: DataFrame, sections: DataFrame, key: bytes) -> DataFrame:
+    """The newest version of a key in every store, from the tables that may hold it alone.
+
+    ``candidates`` (db_id, table_id) are the tables whose key range holds the
+    key; of these, tables whose stored Bloom section denies it are left out (no
+    section, or a malformed one, denies nothing). db_id, n_in_range, n_probed,
+    seq_num, type, value_entry (null where no table has the key). Stores
+    without a table in range are absent. The key's equality reaches the scan,
+    and where tables are files, only those of the probed ones are opened.
+    """
+    may = bloom_probe(sections, key).groupBy(*TABLE).agg(F.max("may_contain").alias("_may"))
+    ranged = candidates.select(*TABLE).distinct().join(may, TABLE, "left").withColumn("_may", F.coalesce("_may", F.lit(True)))
+    stores = ranged.groupBy("db_id").agg(F.count(F.lit(1)).alias("n_in_range"), F.sum(F.col("_may").cast("int")).alias("n_probed"))
+    hits = join_small(runs.where(F.col("key_entry") == F.lit(bytearray(key))), ranged.where("_may").select(*TABLE), TABLE, "left_semi")
+    newest = hits.groupBy("db_id").agg(F.max(F.struct("seq_num", -F.col("level"), "table_id", "type", "value_entry")).alias("w"))
+    return stores.join(newest, "db_id", "left").select("db_id", "n_in_range", "n_probed", "w.seq_num", "w.type", "w.value_entry")
+
+
 def record_checksums(runs: DataFrame) -> DataFrame:
     """CRC-32 of key and value bytes, combined per block as count and sum; detects any changed record."""
     both = F.concat("key_entry", F.coalesce("value_entry", F.lit(bytearray(b""))))

@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from siltstone.functions.expressions import RECORD_HEADER_BYTES, normal_path, record_bytes
 from siltstone.functions.joins import join_small
 from siltstone.sources.published import Folder
-from siltstone.sources.tables import drop, shared_dir, written
+from siltstone.sources.tables import scratch, shared_dir, written
 
 #: Bits of either coordinate; a Hilbert code has twice as many.
 COORDINATE_BITS = 16
@@ -238,7 +238,7 @@ class SmallFiles:
     def _cut(self, staged: DataFrame, groups: DataFrame, table: pa.Table) -> tuple[Layout, DataFrame]:
         """The layout of some groups, a local table of proven size, and the staged rows with their codes."""
         rows = self._placed(staged, groups)
-        if max(table.column("n_files").to_pylist()) < 2:  # a file a group needs no curve
+        if table.column("n_files").to_numpy().max() < 2:  # a file a group needs no curve
             none, first = np.zeros(0, np.int64), np.arange(table.num_rows)
             return Layout(np.zeros(0, object), none, first << (2 * COORDINATE_BITS), first, first), rows.withColumn("_code", F.lit(0))
         many = rows.where("n_files > 1")
@@ -313,7 +313,7 @@ class SmallFiles:
             return pd.Series(shared.value.files(*(c.to_numpy().astype(np.int64) for c in (group, code, spread))))
 
         n_files = int(np.maximum(n, 1).sum())
-        wanted = math.ceil(sum(table.column("n_bytes").to_pylist()) / PARTITION_BYTES)
+        wanted = math.ceil(int(table.column("n_bytes").to_numpy().sum()) / PARTITION_BYTES)
         parts = min(n_files, max(int(spark.conf.get("spark.sql.shuffle.partitions")), wanted))
         (
             rows.withColumn("file_no", file_of("_g", "_code", "_spread"))
@@ -334,17 +334,19 @@ class SmallFiles:
         """
         spark = self.catalog.sparkSession
         out = Folder(spark, folder or f"{shared_dir(spark)}/small-files-{uuid.uuid4().hex}")
-        chosen = written(self.small_tables().select("db_id", "table_id", "level"), "small-tables")
+        steps = Folder(spark, scratch(spark, "small-files"))
+        chosen = written(self.small_tables().select("db_id", "table_id", "level"), "", f"{steps.path}/tables")
         source, columns = self._of(chosen), list(self.COLUMNS)
         staged = written(
             source.distinct().withColumns(
                 {"_level": F.coalesce("level", F.lit(-1)), "_bytes": F.coalesce(record_bytes(), F.lit(RECORD_HEADER_BYTES))}
             ),
-            "small-records",
+            "",
+            f"{steps.path}/records",
         )
-        taken = sum(Folder(spark, staged.inputFiles()[0].rpartition("/")[0]).sizes()) if staged.inputFiles() else 0
+        taken = steps.size("records")
         total = staged.agg(F.sum("_bytes")).first()[0] or 0
-        groups = written(self._groups(staged, taken / max(1, total)), "small-groups")
+        groups = written(self._groups(staged, taken / max(1, total)), "", f"{steps.path}/groups")
         # What a group's layout takes: a cut for each file, a key for each slice.
         weight = 64 + 32 * F.col("n_files") + 96 * SLICES * F.sqrt("n_files")
         passes = math.ceil((groups.agg(F.sum(weight)).first()[0] or 0) / self.layout_bytes)
@@ -355,8 +357,7 @@ class SmallFiles:
             if table.num_rows:
                 self._rewrite(staged.where(share), table, path)
         report = self._checked(out, source, chosen, columns, passes)
-        for table in (chosen, staged, groups):
-            drop(table)
+        steps.delete("")
         return report
 
     def _checked(self, out: Folder, source: DataFrame, chosen: DataFrame, columns: list[str], passes: int) -> DataFrame:

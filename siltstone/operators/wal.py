@@ -56,11 +56,12 @@ def to_fragments(records: DataFrame, order: list[str], block_bytes: int = LOG_BL
 
     Only where a record begins is sequential: that fold sees nothing but sizes.
     Cutting and checksums are column expressions. Files are bounded by the log's size
-    limit and spread over tasks. Null values count as empty; invalid records are the caller's to leave out.
+    limit and spread over tasks. Null values count as empty; records without a key are left out.
     """
     value = F.coalesce("value_entry", F.lit(bytearray(b"")))
     lengths = F.concat(little_endian(F.octet_length("key_entry"), 4), little_endian(F.octet_length(value), 4))
-    rows = records.select(*dict.fromkeys([*FILE, *order, "seq_num", "type"]), F.concat(lengths, "key_entry", value).alias("_whole"))
+    keyed = records.where(F.col("key_entry").isNotNull())
+    rows = keyed.select(*dict.fromkeys([*FILE, *order, "seq_num", "type"]), F.concat(lengths, "key_entry", value).alias("_whole"))
     sized = rows.withColumn("_size", F.octet_length("_whole").cast("bigint"))
     most = block_bytes - FRAGMENT_HEADER_BYTES
 

@@ -485,4 +485,32 @@ edit AS (
   FROM added
   UNION ALL SELECT db_id, 'counter', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, max(table_id) + 1 FROM added GROUP BY db_id)
 SELECT e.*, coalesce(last_no, 0) + 1 AS edit_no FROM edit e LEFT JOIN ids USING (db_id)""",
+    "pruned_get": f"""WITH {CATALOG}, {LIVE},
+h AS (SELECT {_slot(KEY, 48)} AS a, {_slot(KEY, 106)} AS b),
+said AS (
+  SELECT db_id, table_id, bool_or(CASE
+    WHEN coalesce(octet_length(mask) = 128 AND bloom_bits = 128 AND hash_count = 2
+                  AND regexp_matches(hex(mask), '^(0[01])*$'), false)
+    THEN substr(hex(mask), 2 * a + 2, 1) = '1' AND substr(hex(mask), 2 * ((a + b) % 128) + 2, 1) = '1'
+    ELSE true END) AS may FROM bloom_sections, h GROUP BY ALL),
+ranged AS (
+  SELECT DISTINCT t.db_id, t.table_id, coalesce(may, true) AS may FROM tables t
+  LEFT JOIN said s ON s.db_id = t.db_id AND s.table_id = t.table_id WHERE smallest_key <= {KEY} AND largest_key >= {KEY}),
+newest AS (
+  SELECT r.* FROM runs r JOIN ranged g ON g.db_id = r.db_id AND g.table_id = r.table_id WHERE may AND key_entry = {KEY}
+  QUALIFY row_number() OVER (PARTITION BY r.db_id ORDER BY seq_num DESC, level, r.table_id DESC, type DESC, value_entry DESC NULLS LAST) = 1)
+SELECT s.*, seq_num, type, hex(value_entry) AS value_hex FROM (
+  SELECT db_id, count(*) AS n_in_range, count(*) FILTER (WHERE may) AS n_probed FROM ranged GROUP BY db_id) s
+LEFT JOIN newest n ON n.db_id = s.db_id""",
+    # The table of the checksum from its rule: eight shifts of each byte, xor 0xEDB88320 where a one falls out.
+    "record_checksums": f"""WITH {LIVE},
+crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(i, range(0, 8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END)) AS t),
+bytes AS (
+  SELECT db_id, table_id, block_no, hex(key_entry) || coalesce(hex(value_entry), '') AS h, kv AS n FROM sized),
+summed AS (
+  SELECT db_id, table_id, block_no, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, n), lambda i:
+    (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)),
+    lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS c FROM bytes, crc)
+SELECT db_id, table_id, block_no, count(*) AS n, sum(c)::BIGINT AS crc_sum FROM summed GROUP BY ALL""",
 }

@@ -164,6 +164,13 @@ def sstable_get(spark: SparkSession, d: str) -> DataFrame:
     return _out(runs.table_get(live_runs(spark, d), HOT_KEY), "db_id", "table_id", "seq_num", "type", "value_entry")
 
 
+def pruned_get(spark: SparkSession, d: str) -> DataFrame:
+    """The whole pruned read of one key in every store: level order and key range, Bloom section, block index, record."""
+    candidates = catalog.candidate_tables(load(spark, d, "table_meta"), HOT_KEY)
+    got = runs.pruned_get(live_runs(spark, d), candidates, load(spark, d, "bloom_sections"), HOT_KEY)
+    return _out(got, "db_id", "n_in_range", "n_probed", "seq_num", "type", "value_entry")
+
+
 def table_meta(spark: SparkSession, d: str) -> DataFrame:
     t = runs.table_stats(live_runs(spark, d))
     return _out(t, *t.columns)
@@ -491,7 +498,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         p1_found, p1_state, p1_fields, p2_found, p2_runs, p3_found, p3_files, p3_rows, p4_found, p4_counts,
         live_view, latest_view, live_count, point_get, multi_get, range_scan, read_path, known_keys, memtable_get, dedup_identity, merge_runs,
-        ordered_dump, order_positions, generations, oldest_generation, memtable_usage, sstable_get, table_meta, block_index,
+        ordered_dump, order_positions, generations, oldest_generation, memtable_usage, sstable_get, pruned_get, table_meta, block_index,
         index_candidates, bloom_build, bloom_probe, estimate_size, block_packing, output_split, record_checksums,
         manifest_replay, counter_state, edit_outcomes, manifest_violations, counter_violations, edit_recovery, add_violations, remove_violations, level_stats, candidate_tables, overlapping_tables,
         should_compact, pick_source, compaction_plan, key_spans, plan_violations, stale_inputs, stale_after_commit, damaged_plan, compact, compact_commit, compact_bottom, compact_range, record_violations,

@@ -82,6 +82,6 @@ class Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(f"{self.path}/{name}"), True)
 
-    def sizes(self, pattern: str = "*.parquet") -> list[int]:
-        """Sizes of the files in the folder."""
-        return [s.getLen() for s in self._fs.globStatus(self._at(f"{self.path}/{pattern}")) or []]
+    def size(self, name: str = "") -> int:
+        """Bytes of all files in the folder, or in one below it."""
+        return self._fs.getContentSummary(self._at(f"{self.path}/{name}".rstrip("/"))).getLength()

@@ -90,16 +90,8 @@ def _remove(jvm, conf, root: str) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows written once to a scratch table and read from there, which cuts the lineage."""
-    path = scratch(df.sparkSession, name)
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """The rows written once to a scratch table (or the path given) and read from there, which cuts the lineage."""
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop(table: DataFrame) -> None:
-    """Remove a written table that nothing reads any more."""
-    spark = table.sparkSession
-    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -3,9 +3,12 @@
 import datetime as dt
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from siltstone.operators.references import orphan_counts, orphan_rows, orphans
+from siltstone.operators import references
+from siltstone.operators.references import _Range, orphan_counts, orphan_rows, orphans
 from siltstone.sources.tables import SCHEMAS
 
 REF, PAR = "_key string, _at bigint, payload string", "_key string, _at bigint, _alive boolean"
@@ -53,6 +56,26 @@ def test_extra_columns_with_clashing_names(spark):
     assert [r["reason"] for r in orphans(refs, parents).collect()] == ["missing"]
 
 
+def test_keys_of_one_hash_are_told_apart():
+    rows = [(5, "a", 1, True), (5, "b", 2, True), (5, "c", 0, True), (5, "c", 3, False), (9, "d", 1, True)]
+    parents = pa.table({"_h": [r[0] for r in rows], "_key": [r[1] for r in rows], "_at": [r[2] for r in rows], "_alive": [r[3] for r in rows]})
+    asked = [(5, "a", 1), (5, "b", 1), (5, "c", 2), (5, "c", 3), (5, "x", 9), (9, "d", 5), (9, "a", 5), (1, "a", 5), (10, "z", 1)]
+    got = _Range(parents).probe(
+        np.array([r[0] for r in asked]), pa.array([r[1] for r in asked], pa.large_string()), np.array([r[2] for r in asked])
+    )
+    assert got.tolist() == ["found", "later", "found", "deleted", "missing", "found", "missing", "missing", "missing"]
+
+
+def test_ranges_follow_the_number_of_parents(spark, monkeypatch):
+    monkeypatch.setattr(references, "RANGE_ROWS", 10)
+    refs = spark.range(300).selectExpr("cast(id as string) as _key", "1L as _at")
+    parents = spark.range(0, 300, 2).selectExpr("cast(id as string) as _key", "0L as _at", "true as _alive")
+    sizes = []
+    real = references.written
+    monkeypatch.setattr(references, "written", lambda df, name: sizes.append(df.rdd.getNumPartitions()) or real(df, name))
+    assert {int(r["_key"]) % 2 for r in orphans(refs, parents).collect()} == {1} and sizes == [15]
+
+
 def edits(spark, rows):
     full = [(db, no, op, t, level, *[None] * 13, state, None) for db, no, op, t, level, state in rows]
     return spark.createDataFrame(full, SCHEMAS["manifest_edits"])

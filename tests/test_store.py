@@ -226,3 +226,14 @@ def test_iterator(spark, tmp_path):
     with pytest.raises(StopIteration):
         it.next()
     assert [k for k, _ in s.iterator(b"k05", b"k08")] == [b"k05", b"k06", b"k07"]
+
+
+def test_full_log_is_flushed_and_tables_open_by_number(spark, tmp_path):
+    s = Store.open(spark, f"file://{tmp_path}/s", log_bytes=2000)
+    for i in range(35):
+        s.put(b"k%02d" % i, b"v" * 100)
+    assert len(s.catalog()) == 2 and len(list(tmp_path.glob("s/wal-*.log"))) == 1
+    first = min(t.table_id for t in s.catalog())
+    assert 10 < s.table(first).count() < 20 and len(items(s)) == 35
+    with pytest.raises(KeyError):
+        s.table(99)
