@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import functools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -132,11 +133,17 @@ def restore(text: str, chain: Chain) -> str | None:
     return back if back != text and LOST not in back and garble(back, chain) == text else None
 
 
+@functools.cache
+def _codes(encoding: str) -> dict[int, int]:
+    """The byte of each character of a one-byte encoding, undefined bytes as their control characters."""
+    out: dict[int, int] = {}
+    for b, c in enumerate(_table(encoding)):
+        out.setdefault(ord(c), b)
+    return out
+
+
 def _bytes(text: str, encoding: str) -> bytes:
-    """The bytes an encoding reads as a text, with undefined ones as their control characters."""
+    """The bytes an encoding reads as a text; UnicodeError if it reads nothing so."""
     if encoding not in SINGLE_BYTE:
         return text.encode(encoding)
-    table = _table(encoding)
-    if any(c not in table for c in text):
-        raise UnicodeError(f"{encoding} reads nothing as this text")
-    return bytes(table.index(c) for c in text)
+    return codecs.charmap_encode(text, "strict", _codes(encoding))[0]

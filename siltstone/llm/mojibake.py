@@ -330,7 +330,6 @@ class Mojibake:
         loses nothing and gives the originals of all of them, so that short
         words and names come back as well.
         """
-        pairs = self.table().join(self.words(), "word")
         every = self.chains
 
         def back(word, kind, unit, original, chain):
@@ -344,10 +343,12 @@ class Mojibake:
             known = {c["word"]: (c["original"], c["chain"]) for c in changes}
             return "\n".join(restored_line(x, known, every) for x in text.split("\n"))
 
+        # Each garbled word is turned back once, in however many texts it is.
         put = F.udf(back, "string", useArrow=True)("word", "kind", "unit", "original", "chain")
+        turned = self.words().select("word", "chain", put.alias("original"))
         # A text's own distinct garbled words: bounded by the length of one text.
         changes = written(
-            pairs.select("h", "word", "chain", put.alias("original"))
+            self.table().join(turned, "word")
             .groupBy("h").agg(F.collect_list(F.struct("word", "original", "chain")).alias("changes")), "mojibake-changes"
         )
         restored_n = F.size(F.filter("changes", lambda c: c["original"].isNotNull()))
