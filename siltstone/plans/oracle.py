@@ -59,10 +59,10 @@ moves AS (
 steps AS (
   SELECT *, lag(op) OVER (PARTITION BY db_id, table_id, level ORDER BY edit_no, op DESC, committed_at) AS last_op FROM moves),
 orphan AS (
-  SELECT 'deleted_table' AS ref_kind, 'manifest_edits' AS referring_table, db_id, edit_no, table_id, committed_at
+  SELECT 'deleted_table' AS ref_kind, 'manifest_edits' AS referring_table, db_id, edit_no, table_id, committed_at, NULL AS file
   FROM steps WHERE op = 'delete' AND last_op IS DISTINCT FROM 'add'
   UNION ALL
-  SELECT DISTINCT 'table_path', 'table_meta', l.db_id, l.edit_no, l.table_id, l.committed_at
+  SELECT DISTINCT 'table_path', 'table_meta', l.db_id, l.edit_no, l.table_id, l.committed_at, l.file
   FROM listed l LEFT JOIN files f USING (file) WHERE f.state IS DISTINCT FROM 'present')"""
 
 LIMITS = f"(1, {OPTIONS.level_limits[0]}), (2, {OPTIONS.level_limits[1]}), (3, {OPTIONS.level_limits[2]}), (4, {OPTIONS.level_limits[3]}), (5, {OPTIONS.level_limits[4]})"
