@@ -513,4 +513,6 @@ summed AS (
     (strpos('0123456789ABCDEF', substr(h, 2 * i + 1, 1)) - 1) * 16 + strpos('0123456789ABCDEF', substr(h, 2 * i + 2, 1)) - 1)),
     lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8)), 4294967295::BIGINT) AS c FROM bytes, crc)
 SELECT db_id, table_id, block_no, count(*) AS n, sum(c)::BIGINT AS crc_sum FROM summed GROUP BY ALL""",
+    "stream_latest": f"""WITH {WINNERS}
+SELECT db_id, hex(key_entry) AS key_hex, hex(value_entry) AS value_hex, type, seq_num FROM latest""",
 }

@@ -14,6 +14,7 @@ from siltstone.functions.expressions import key_hex, valid_record
 from siltstone.operators import catalog, changes, checks, compaction, incremental, references, resolve, runs, wal
 from siltstone.operators.small_files import SmallFiles
 from siltstone.sources.tables import load, scratch
+from siltstone.streaming import upsert
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -408,6 +409,15 @@ def wal_recover(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def stream_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The latest view as a stream makes it: the log's files in micro-batches, merged into a published state."""
+    state = upsert.LatestState(spark, scratch(spark, "stream-state"))
+    # A pattern, since the log may be a file or a folder of files.
+    stream = upsert.read_log(spark, f"{d}/changelog.parque[t]", files_per_batch=16)
+    state.start(stream, scratch(spark, "stream-checkpoint")).awaitTermination()
+    return _out(state.read(), "db_id", "key_entry", "value_entry", "type", "seq_num")
+
+
 # Problems 1 to 4
 
 
@@ -502,6 +512,6 @@ QUERIES: dict[str, Query] = {
         index_candidates, bloom_build, bloom_probe, estimate_size, block_packing, output_split, record_checksums,
         manifest_replay, counter_state, edit_outcomes, manifest_violations, counter_violations, edit_recovery, add_violations, remove_violations, level_stats, candidate_tables, overlapping_tables,
         should_compact, pick_source, compaction_plan, key_spans, plan_violations, stale_inputs, stale_after_commit, damaged_plan, compact, compact_commit, compact_bottom, compact_range, record_violations,
-        order_violations, index_check, meta_consistency, bloom_consistency, wal_fragment, wal_reassemble, wal_recover,
+        order_violations, index_check, meta_consistency, bloom_consistency, wal_fragment, wal_reassemble, wal_recover, stream_latest,
     )
 }
