@@ -27,6 +27,8 @@ _TOKEN = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 FILTER_BITS_MOST = 1 << 29
 #: Bits for each unit, at least; with two positions a unit at most 1.4 % of other forms pass.
 FILTER_BITS_EACH = 16
+#: Characters of the words whose pieces are made together; unspaced texts have words of any length.
+PIECE_CHARS = 20_000
 _SEED = 42  # of Spark's xxhash64
 
 WORD, RUN, GRAM, SHORT = "word", "run", "gram", "short"
@@ -137,18 +139,24 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.string()] * 3 + [pa.int64()] + [pa.bool_()] * 2
+    names = _PIECES.replace(",", "").split()[::2]
     for b in batches:
-        for lo in range(0, len(b), 2000):
+        words, counts = (c.to_pylist() for c in b.columns)
+        at = 0
+        while at < len(words):
+            end, chars = at, 0
+            while end < len(words) and (end == at or chars + len(words[end]) <= PIECE_CHARS):
+                chars += len(words[end])
+                end += 1
             rows = [
                 (w, p, k, n, is_source(p, k), is_target(p, k))
-                for w, n in zip(*(c.to_pylist() for c in b.slice(lo, 2000).columns), strict=True)
+                for w, n in zip(words[at:end], counts[at:end], strict=True)
                 for p, k in pieces_of(w)
             ]
+            at = end
             columns = list(zip(*rows, strict=True)) or [[]] * 6
-            types = [pa.string()] * 3 + [pa.int64()] + [pa.bool_()] * 2
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, types, strict=True)], _PIECES.replace(",", "").split()[::2]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
 
 def _positions(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:

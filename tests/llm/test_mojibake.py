@@ -99,6 +99,14 @@ def test_whole_texts_are_read(spark):
     assert [r["doc_id"] for r in Mojibake(df).found().collect()] == [99]
 
 
+def test_long_unspaced_texts(spark):
+    """A word without a break of 300,000 characters, clean in one document and misread in another."""
+    zh = CLEAN["zh"].replace("。", "")
+    rows = [(i, f"{CLEAN['zh']} {i}") for i in range(12)] + [(50, zh * 12_000), (51, garble(zh * 300, Chain((("gbk", "latin-1"),), False)))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert [r["doc_id"] for r in Mojibake(df).found().collect()] == [51]
+
+
 def test_a_source_that_misreads_all_its_mail(spark):
     """Forms as frequent as their originals: 40 of 70 texts read UTF-8 as cp1252 or cp1251."""
     clean = [(i, f"{CLEAN['de']} {CLEAN['ru']} {i}") for i in range(30)]
