@@ -160,11 +160,10 @@ def deleted_table_references(edits: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def table_path_references(catalog: DataFrame, footers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paths of the catalog as references, files by their newest scan as parents (times play no part)."""
+    """Paths of the catalog as references, repeats too, files by their newest scan as parents (times play no part)."""
     refs = (
         catalog.where(F.col("path").isNotNull())
         .select(normal_path("path").alias("_key"), F.lit(0).cast("bigint").alias("_at"), "db_id", "edit_no", "table_id", "committed_at")
-        .distinct()
     )
     files = newest_files(footers).select(
         F.col("file").alias("_key"), F.lit(0).cast("bigint").alias("_at"), (F.col("state") == "present").alias("_alive")

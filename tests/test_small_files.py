@@ -70,7 +70,7 @@ def test_hot_key_nulls_and_repeats_stay_whole(spark, tmp_path):
 def test_groups_in_several_passes(spark):
     records = hot_store() + [(d, 50 + i % 3, 0, 0, bytearray(b"k%d" % i), None, 0, i) for d in range(2, 8) for i in range(60)]
     one, many = tables(spark, records), tables(spark, records)
-    many.layout_bytes = 1500
+    many.layout_bytes = 3000
     rows = [{tuple(r[:4]) for r in sf.run().collect()} for sf in (one, many)]
     assert rows[0] == rows[1] and len(rows[0]) == 7
 
