@@ -26,13 +26,15 @@ class ChainOptions:
     """Layer i has ``first_capacity * growth^i`` keys and error rate ``error * (1 - tightening) * tightening^i``.
 
     The rates of all layers sum to less than ``error``, however long the chain
-    grows. A layer is full once it holds ``fill`` of its capacity.
+    grows. A layer is full once it holds ``fill`` of its capacity. By default
+    the first layer takes 14 bits a key and each next one a third of a bit
+    more, 20 bits with 40 million keys.
     """
 
-    first_capacity: int = 4096
+    first_capacity: int = 256
     growth: int = 2
     error: float = 0.01
-    tightening: float = 0.5
+    tightening: float = 0.85
     fill: float = 1.0
 
 
@@ -181,11 +183,11 @@ class SeenKeys:
 
     Keys are hashed into ``shards``, each with a chain of its own, so a store
     that holds a third of all keys is spread like any other. ``advance`` reads
-    the saved layers (10 to 20 bits a key), the new history and the new
+    the saved layers (14 to 20 bits a key), the new history and the new
     arrivals, and nothing of what was added before; it writes answers and grown
     layers and publishes both as a new version by one rename, so a run that is
     lost and repeated adds nothing twice. A task holds one chain at a time; 256
-    shards keep it under 100 MB up to 10^10 keys. The number of shards and
+    shards keep it within 200 MB up to 10^10 keys. The number of shards and
     the options belong to the saved state and never change.
     """
 
